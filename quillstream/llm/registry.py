@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillstream.llm import near_dedup, topk, url_filter, warc
+from quillstream.llm import near_dedup, substring_dedup, topk, url_filter, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_exact_topk": topk.op6_exact_topk,
     "op10_warc": warc.op10_warc,
