@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quillstream.llm import near_dedup, substring_dedup, topk, url_filter, warc
+from quillstream.llm import bpe, near_dedup, substring_dedup, token_output, topk, url_filter, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_bpe": bpe.op3_bpe,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_exact_topk": topk.op6_exact_topk,
+    "op9_token_output": token_output.op9_token_output,
     "op10_warc": warc.op10_warc,
 }
 
