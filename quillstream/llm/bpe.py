@@ -269,13 +269,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of docs."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of docs."""
     both = decode(encode(docs, path), path)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    return both.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document with the byte-level vocabulary of 50,257 ids."""
     import public_tokenizers
 
-    return digests(shared.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return digests(shared.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")

@@ -4,7 +4,8 @@ Documents and benchmark items are canonicalised token by token: numbers, names a
 other words lower-case literals without surrounding punctuation. Windows of WINDOW canonical tokens (whole items where
 these are shorter) are hash-joined. A document is contaminated by an item if a window matches at some alignment and the slot
 values that the item and the document put into the matched placeholders are consistent: within one alignment each item value
-always stands for the same document value. Equal values make an ``exact`` leak, renamed ones a ``reparameterised`` one.
+always stands for the same document value. Equal values make an ``exact`` leak, for which one window is enough; renamed ones a
+``reparameterised`` one, which needs RENAMED_SHARE of the item's windows.
 
 A window with fewer than MIN_LITERALS literals says little, so it counts only if its slot values are equal too. A name is
 a capitalised token that does not begin a sentence; a unit is a unit word after a number.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillstream.llm import shared, textvec
 
-WINDOW, MIN_LITERALS = 8, 4
+WINDOW, MIN_LITERALS, RENAMED_SHARE = 8, 4, 0.5
 BITS = 24
 CACHED_WORDS = 400_000
 
@@ -212,9 +213,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     item_values = F.array_distinct(F.transform("pairs", lambda p: p["item"]))
     consistent = aligned.where(F.size("pairs") == F.size(item_values))
     kind = F.when(F.exists("pairs", lambda p: p["item"] != p["doc"]), "reparameterised").otherwise("exact")
-    best = consistent.select("doc_id", "item_id", F.struct("n_windows", (kind == "exact").alias("exact"), kind.alias("kind")).alias("s")).groupBy("doc_id", "item_id").agg(F.max("s").alias("s"))
-    return best.join(of_item, best.item_id == of_item.id).select(
-        "doc_id", "item_id", F.col("s.kind").alias("kind"), F.col("s.n_windows").alias("n_windows"), "item_windows", (F.col("s.n_windows") / F.col("item_windows")).alias("share")
+    sized = consistent.withColumn("kind", kind).join(of_item, consistent.item_id == of_item.id)
+    enough = (F.col("kind") == "exact") | (F.col("n_windows") >= RENAMED_SHARE * F.col("item_windows"))
+    best = sized.where(enough).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", (F.col("kind") == "exact").alias("exact"), "kind", "item_windows")).alias("s"))
+    return best.select(
+        "doc_id", "item_id", F.col("s.kind").alias("kind"), F.col("s.n_windows").alias("n_windows"), F.col("s.item_windows").alias("item_windows"), (F.col("s.n_windows") / F.col("s.item_windows")).alias("share")
     )
 
 

@@ -192,3 +192,10 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> DataFra
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return score(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least 0.5."""
+    intercept, rules = fit(*training_rows(shared.documents(docs), labels, limit))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    return features(packed).where(compiled(intercept, rules) >= 0.5).select("row.*")
