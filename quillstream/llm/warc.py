@@ -19,18 +19,14 @@ from pyspark.sql import functions as F
 
 from quillstream.llm import shared
 
+BASE32_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 SHA-1 without padding (160 bits are 32 letters), from five-bit groups."""
-    hexed = F.sha1(payload)
-    bits = F.concat(*[F.lpad(F.conv(F.substring(hexed, 1 + 10 * i, 10), 16, 2), 40, "0") for i in range(4)])
-    letters = F.transform(
-        F.sequence(F.lit(0), F.lit(31)),
-        lambda i: F.substring(F.lit(BASE32), F.conv(F.substring(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)),
-    )
-    return F.array_join(letters, "")
+def base32(sha1_hex: Column) -> Column:
+    """Upper-case base32 of a hex SHA-1, without padding: each ten hex digits are eight base-32 digits."""
+    groups = [F.lpad(F.conv(F.substring(sha1_hex, 1 + 10 * i, 10), 16, 32), 8, "0") for i in range(4)]
+    return F.translate(F.concat(*groups), BASE32_DIGITS, BASE32)
 
 
 def _header(date: str) -> Column:
@@ -71,7 +67,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
     verified = F.when(clash, F.raise_error(F.concat(F.lit("different payloads under digest "), F.col("sha256")))).otherwise(F.col("sha256"))
     store.select(verified.alias("sha256"), "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
-    narrow = keyed.select("page_id", "url", "sha256", "payload_bytes", base32_sha1(F.col("payload")).alias("payload_digest"))
+    narrow = shared.staged(keyed.select("page_id", "url", "sha256", "payload_bytes", base32(F.col("sha1")).alias("payload_digest")), "warc-keys")
     ranked = narrow.withColumn("copy_no", F.row_number().over(Window.partitionBy("sha256", "page_id").orderBy(F.col("url").asc_nulls_first())))
     holders = narrow.groupBy("sha256").agg(F.max("page_id").alias("holder"))
     records = (
