@@ -1,6 +1,227 @@
-"""Registered queries of the document operators and the SQL they are checked against."""
+"""Registered queries of the document operators over the driver's tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstream.functions import text as T
+from quillstream.operators import book, chunk, clean, html_text, pdf_text, progress, structure, translate
+from quillstream.plans import oracle, pipeline
+
+ORACLE_SQL = oracle.ORACLE_SQL
+RULES = clean.compile_rules(clean.DEFAULT_RULES)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with the overlay of oracle.OVERLAY."""
+    parts = [F.when(F.col("doc_id") % m == r, F.lit(t)).otherwise(F.lit("")) for m, r, t in oracle.OVERLAY]
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", *parts).alias("text"))
+
+
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, with line ends of even ones doubled to make paragraphs."""
+    text = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+def pages_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.html_to_text(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+
+
+def html_to_text(spark, sf_dir):
+    return pages_text(spark, sf_dir).withColumn("n_chars", T.utf16_length(F.col("text")).cast("long"))
+
+
+def page_titles(spark, sf_dir):
+    return html_text.chapter_title(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "title")
+
+
+def asset_refs(spark, sf_dir):
+    chapters = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("OEBPS/text/ch"), "page_id", F.lit(".xhtml")).alias("href"), F.expr(oracle.ASSET_HTML.replace("''", "\\'")).alias("html"))
+    return book.asset_refs(chapters, "page_id", "href")
+
+
+def _hrefs(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id")
+    pick = lambda n, *v: F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in v]), (F.col("page_id") % n + 1).cast("int"))
+    return p.withColumns({"base": pick(4, "OEBPS/content.opf", "c.opf", "a/b/c.opf", "x/y"), "href": pick(5, F.concat(F.lit("../img/"), "page_id", F.lit(".png")), "a.html", "../../x//y/.", "./t/../u.css", "..")})
+
+
+def resolve_href(spark, sf_dir):
+    return _hrefs(spark, sf_dir).select("page_id", book.resolve_href(F.col("base"), F.col("href")).alias("path"))
+
+
+def mime_lookup(spark, sf_dir):
+    return _hrefs(spark, sf_dir).select("page_id", book.media_type(F.col("href")).alias("media_type"), book.media_type(F.upper("href")).alias("upper_type"))
+
+
+def scrape_clean(spark, sf_dir):
+    return html_text.scraped_chapters(table(spark, sf_dir, "pages").select("page_id", "html"), block="(?is)<article[^>]*>(.*?)</article>").select("page_id", "text")
+
+
+def sanitize(spark, sf_dir):
+    return clean.sanitize(noisy(spark, sf_dir))
+
+
+def sanitize_stats(spark, sf_dir):
+    return clean.sanitize_counts(noisy(spark, sf_dir))
+
+
+def remove_blocks(spark, sf_dir):
+    return clean.remove_blocks(noisy(spark, sf_dir), RULES)
+
+
+def clean_lines(spark, sf_dir):
+    df = clean.remove_blocks(clean.sanitize(noisy(spark, sf_dir)), RULES)
+    df = T.once(df, ls=T.lines_of(F.col("text")))
+    df = T.once(df, keep=clean.drop_lines(F.col("ls"), RULES))
+    return df.select("doc_id", F.size("ls").alias("n_lines"), F.size("keep").alias("n_kept"), F.array_join("keep", "\n").alias("kept"))
+
+
+def clean_text(spark, sf_dir):
+    return clean.clean_text(noisy(spark, sf_dir), RULES)
+
+
+def clean_stats(spark, sf_dir):
+    return clean.rule_counts(noisy(spark, sf_dir), RULES)
+
+
+def size_report(spark, sf_dir):
+    return clean.size_report(noisy(spark, sf_dir), clean.clean_text(noisy(spark, sf_dir), RULES))
+
+
+def chunk_web(spark, sf_dir):
+    return chunk.exploded(paragraphs(spark, sf_dir), chunk.web_chunks(F.col("text")), "doc_id")
+
+
+def chunk_llm(spark, sf_dir):
+    return chunk.exploded(paragraphs(spark, sf_dir), chunk.llm_chunks(F.col("text")), "doc_id")
+
+
+def chunk_stats(spark, sf_dir):
+    n = T.utf16_length(F.col("chunk"))
+    return chunk_llm(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(n).alias("longest"), F.sum(n).alias("n_chars"))
+
+
+def chunk_conversations(spark, sf_dir):
+    """Threads joined in turn order, then chunked."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", F.concat("role", F.lit(": "), "text").alias("s")).alias("t"))
+    threads = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts")).select("conv_id", F.array_join(F.transform("ts", lambda t: t["s"]), "\n\n").alias("text"))
+    return chunk.exploded(threads, chunk.llm_chunks(F.col("text")), "conv_id")
+
+
+def structural_chunks(spark, sf_dir):
+    lines = chunk.exploded(noisy(spark, sf_dir), T.lines_of(F.col("text")), "doc_id")
+    c = F.col("chunk")
+    return lines.select("doc_id", "chunk_idx", chunk.is_structural(c).alias("web"), chunk.is_structural(c, chunk.STRUCTURAL_LLM).alias("llm"), chunk.is_blank(c).alias("blank"))
+
+
+def sentence_split(spark, sf_dir):
+    parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunk.sentences(F.col("text"))).alias("sentence_no", "s"))
+    return parts.select("doc_id", "sentence_no", T.trim_white(F.col("s")).alias("sentence"))
+
+
+def classify_lines(spark, sf_dir):
+    return structure.classify_lines(noisy(spark, sf_dir), "text", "doc_id")
+
+
+def line_type_counts(spark, sf_dir):
+    return classify_lines(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
+
+
+def empty_run_cap(spark, sf_dir):
+    return structure.rendered(classify_lines(spark, sf_dir), "doc_id").select("doc_id", "line_no", "rendered")
+
+
+def doc_title(spark, sf_dir):
+    return noisy(spark, sf_dir).select("doc_id", structure.doc_title(F.col("text"), F.concat(F.lit("doc"), "doc_id")).alias("title"))
+
+
+def pdf_lines(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[^ \\n]+"), 0)).alias("i", "w"))
+    i = F.col("i")
+    text = F.when(i % 23 == 5, None).when(i % 29 == 3, "").when(i % 31 == 7, F.concat("w", F.lit(" "))).otherwise(F.col("w"))
+    items = words.select("doc_id", F.lit(0).alias("page"), i.alias("item_idx"), text.alias("str"), (i % 10 * 50).cast("double").alias("x"), (700 - 12 * F.floor(i / 10)).cast("double").alias("y"), F.when(i % 3 == 0, 50.0).otherwise(40.0).alias("width"), (i % 17 == 0).alias("has_eol"))
+    return pdf_text.page_texts(items)
+
+
+def _records(spark, sf_dir):
+    df = T.once(paragraphs(spark, sf_dir), chunks=chunk.llm_chunks(F.col("text"))).where(F.size("chunks") > 0)
+    at = lambda i: F.col("doc_id") + i
+    made = F.transform("chunks", lambda c, i: F.when(at(i) % 3 == 1, None).when(at(i) % 5 == 2, F.concat(F.lit(progress.FAILED + "\n"), c)).otherwise(c))
+    record = F.struct(F.size("chunks").alias("totalChunks"), F.expr("size(chunks) div 2").alias("completedChunks"), made.alias("translated"))
+    json = df.select("doc_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("json"))
+    return json.select("doc_id", progress.parse_progress(F.col("json")).alias("record"))
+
+
+def progress_compact(spark, sf_dir):
+    r = F.col("record")
+    return _records(spark, sf_dir).select("doc_id", progress.partial_text(r).alias("partial"), progress.final_text(r).alias("final"))
+
+
+def progress_stats(spark, sf_dir):
+    return progress.progress_stats(_records(spark, sf_dir))
+
+
+def spine_manifest_join(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id")
+    book_id = F.concat(F.lit("b"), F.col("page_id") % 7).alias("book_id")
+    half = F.concat(F.lit("i"), F.expr("page_id div 2"))
+    manifest = p.select(book_id, F.col("page_id").cast("int").alias("item_idx"), half.alias("id"), F.concat(F.lit("text/c"), "page_id", F.lit(".xhtml")).alias("href"), F.lit("application/xhtml+xml").alias("media_type"))
+    spine = p.select(book_id, F.col("page_id").cast("int").alias("spine_idx"), F.when(F.col("page_id") % 11 == 0, "none").otherwise(half).alias("idref"))
+    return book.reading_order(spine, manifest).select("book_id", "spine_idx", "chapter_no", "href")
+
+
+def path_names(spark, sf_dir):
+    i = F.col("page_id")
+    name = F.when(i % 3 == 0, F.concat(F.lit("book_"), i, F.lit("_translate_progress.json"))).when(i % 3 == 1, F.lit("b_ai_ES_progress.json")).otherwise(F.concat(F.lit("n."), i, F.lit(".txt")))
+    path = F.concat(F.lit("dir/."), name)
+    return table(spark, sf_dir, "pages").select("page_id", progress.partial_name(path).alias("partial"), progress.with_suffix(path, "_cleaned").alias("cleaned"))
+
+
+def backoff_schedule(spark, sf_dir):
+    a = F.col("attempt")
+    return spark.range(1, 21).select(F.col("id").cast("int").alias("attempt")).select("attempt", *[progress.backoff_ms(a, k).alias(f"{k}_ms") for k in ("web", "llm", "scrape")])
+
+
+def batch_assign(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 4).alias("k"))
+    return book.batches(pages, 20, "page_id", "k").select("page_id", "batch_no")
+
+
+def language_names(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).withColumn("language", book.language_name(F.col("lang")))
+
+
+def book_report(spark, sf_dir):
+    """Pages as chapters of seven books: sections, characters and the assembled text with its header."""
+    sections = pages_text(spark, sf_dir).select((F.col("page_id") % 7).alias("book_id"), F.col("page_id").alias("chapter_no"), "text")
+    head = book.header_text(F.concat(F.lit("Book "), "book_id"), F.lit(None).cast("string"), F.lit("b"), "2024-01-01")
+    return book.book_texts(sections).withColumn("text", F.concat(head, "text"))
+
+
+def pipeline_text(spark, sf_dir):
+    return pipeline.pipeline(table(spark, sf_dir, "pages"), "page_id", RULES)
+
+
+def stub_translator():
+    """Capitals; fails on texts whose length is divisible by seven."""
+
+    def run(text: str) -> str:
+        if len(text) % 7 == 0:
+            raise RuntimeError("refused")
+        return text.upper()
+
+    return run
+
+
+def translate_stub(spark, sf_dir):
+    return translate.assemble(translate.translate_chunks(chunk_llm(spark, sf_dir), stub_translator, marks=chunk.STRUCTURAL_LLM))
+
+
+QUERIES = {name: globals()[name] for name in ORACLE_SQL}
