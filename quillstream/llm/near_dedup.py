@@ -8,10 +8,11 @@ would need. Candidates that share a key are verified on full shingle sets.
 No bucket is capped and none emits all its pairs:
 1. documents with equal sets are one class, represented by its smallest id;
 2. the members of a bucket are compared with two centres, its smallest id and its best-connected one;
-3. members of a bucket that still lie in different components are compared signature by signature
-   in numpy blocks, and the pairs whose signatures agree enough are verified on full sets.
-Components of the verified links are the result. A linked pair at the threshold is missed only if it shares
-no key (under 3 in 10,000 at a similarity of 0.85) or its signatures agree far below expectation.
+3. members of a bucket that still lie in different components are compared in blocks of about BLOCK_MEMBERS
+   documents, all full sets of a block with all of another by matrix products; a pair of blocks yields no more links
+   than it takes to connect its components.
+Components of the verified links are the result. A linked pair is missed only if it shares no key (under 3 in
+10,000 at a similarity of 0.85) and no other links connect it.
 
 Defined results: null or empty texts and texts without words have an empty set and link with nothing; a text of fewer
 words than a shingle has its whole word sequence as its one shingle; each input row yields a result row;
@@ -31,7 +32,7 @@ from quillstream.llm.components import components
 
 TABLES, BAND_ROWS = 7, 2
 MEMBERS = 128
-SIGNATURES = 1024
+BLOCK_MEMBERS, BLOCK_BYTES, COLUMNS = 256, 8 << 20, 4096
 
 _rng = np.random.default_rng(20240117)
 _FLIP = _rng.integers(0, 2**64, 2 * TABLES * BAND_ROWS, np.uint64)
@@ -68,7 +69,7 @@ def minhashes(s: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.stack([textvec.by_doc(np.minimum, (s ^ flip) * step, of, 0) for flip, step in zip(_FLIP, _STEP)], axis=1)
 
 
-SIGNATURE_SCHEMA = "doc_id long, text_hash long, n long, d1 long, d2 long, sig binary, left array<long>, right array<long>"
+SIGNATURE_SCHEMA = "doc_id long, text_hash long, n long, d1 long, d2 long, left array<long>, right array<long>"
 
 
 def _signer(width: int):
@@ -83,18 +84,17 @@ def _signer(width: int):
                     bands = textvec.mix(bands * np.uint64(3) + m[:, k::BAND_ROWS])
                 d1 = textvec.by_doc(np.add, textvec.mix(s), of, 0)
                 d2 = textvec.by_doc(np.add, textvec.mix(s ^ np.uint64(0x5DEECE66D)), of, 0)
-                sig = textvec.mix(m).astype(np.uint16)
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * TABLES, pa.int32()), pa.array(np.ascontiguousarray(x).ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), hashes.slice(a, b - a), pa.array(np.diff(of)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array([row.tobytes() for row in sig], pa.binary()), lists(bands[:, :TABLES]), lists(bands[:, TABLES:])],
-                    names=["doc_id", "text_hash", "n", "d1", "d2", "sig", "left", "right"],
+                    [ids.slice(a, b - a), hashes.slice(a, b - a), pa.array(np.diff(of)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists(bands[:, :TABLES]), lists(bands[:, TABLES:])],
+                    names=["doc_id", "text_hash", "n", "d1", "d2", "left", "right"],
                 )
 
     return sign
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """Per row of docs(doc_id, text): set size n, a 128-bit set digest, minhash signature and band hashes."""
+    """Per row of docs(doc_id, text): set size n, a 128-bit set digest and band hashes."""
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_signer(width), SIGNATURE_SCHEMA)
 
 
@@ -148,53 +148,96 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return sorted_rows.select("block", "is_centre", "id", "text").mapInArrow(_verifier(width, percent), "a long, b long")
 
 
-def _agreeing(least: int):
-    """mapInPandas function: pairs of different components in a pair of signature blocks that agree in ``least`` places."""
-
-    def compare(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for r in pdf.to_dict("records"):
-                shape = (-1, 2 * TABLES * BAND_ROWS)
-                si, sj = np.frombuffer(r["sigs_i"], np.uint16).reshape(shape), np.frombuffer(r["sigs_j"], np.uint16).reshape(shape)
-                ii, ij = np.frombuffer(r["ids_i"], np.int64), np.frombuffer(r["ids_j"], np.int64)
-                ci, cj = np.frombuffer(r["comps_i"], np.int64), np.frombuffer(r["comps_j"], np.int64)
-                found = []
-                for a in range(0, len(ii), 128):
-                    same = np.zeros((len(ii[a : a + 128]), len(ij)), np.uint8)
-                    for k in range(shape[1]):
-                        same += si[a : a + 128, k, None] == sj[None, :, k]
-                    x, y = np.nonzero((same >= least) & (ci[a : a + 128, None] != cj[None, :]))
-                    found.append(np.stack([ii[a + x], ij[y]], axis=1))
-                found = np.concatenate(found)
-                if len(found):
-                    yield pd.DataFrame({"id": found.max(axis=1), "centre": found.min(axis=1)})
-
-    return compare
-
-
 def _block_packer(batches):
-    """mapInPandas function over rows sorted by (u, chunk): one packed row per chunk and partition run."""
+    """mapInPandas function over rows (u, chunk, id, comp, text) sorted by u and chunk: packed blocks of a chunk, cut by bytes too."""
     import pandas as pd
+    import zstandard
 
-    held, rows = None, []
+    held, rows, size, piece = None, [], 0, 0
 
     def flush():
-        ids, comps, sigs = zip(*rows)
-        return pd.DataFrame({"u": [held[0]], "chunk": [held[1]], "ids": [np.array(ids, np.int64).tobytes()], "comps": [np.array(comps, np.int64).tobytes()], "sigs": [b"".join(sigs)]})
+        ids, comps, texts = zip(*rows)
+        packed = zstandard.compress(pa.array(texts, pa.large_string()).buffers()[2] or b"", 3)
+        lengths = np.array([len(t.encode()) for t in texts], np.int64)
+        return pd.DataFrame({"u": [held[0]], "block": [held[1] << 20 | piece], "ids": [np.array(ids, np.int64).tobytes()], "comps": [np.array(comps, np.int64).tobytes()], "lengths": [lengths.tobytes()], "texts": [packed]})
 
     for pdf in batches:
-        for u, chunk, i, comp, sig in zip(pdf["u"], pdf["chunk"], pdf["id"], pdf["comp"], pdf["sig"]):
-            if held != (u, chunk):
+        for u, chunk, i, comp, text in zip(pdf["u"], pdf["chunk"], pdf["id"], pdf["comp"], pdf["text"]):
+            if held != (u, chunk) or size > BLOCK_BYTES:
                 if rows:
                     yield flush()
-                held, rows = (u, chunk), []
-            rows.append((i, comp, sig))
+                piece = piece + 1 if held == (u, chunk) else 0
+                held, rows, size = (u, chunk), [], 0
+            rows.append((i, comp, text))
+            size += len(text)
     if rows:
         yield flush()
 
 
+def _block_sets(ids: bytes, comps: bytes, lengths: bytes, texts: bytes, width: int):
+    """(ids, comps, shingles, where each document's begin) of a packed block."""
+    import zstandard
+
+    lengths, raw = np.frombuffer(lengths, np.int64), zstandard.decompress(texts)
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    of_text = pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(raw))
+    sets, of = [], [np.zeros(1, np.int64)]
+    for _, _, words in textvec.text_groups(of_text, lower=True):
+        s, at = shingles(words, width)
+        sets.append(s)
+        of.append(at[1:] + of[-1][-1])
+    return np.frombuffer(ids, np.int64), np.frombuffer(comps, np.int64), np.concatenate(sets), np.concatenate(of)
+
+
+def common_counts(s: np.ndarray, of: np.ndarray, t: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """(documents of s x documents of t) sizes of the intersections of their sets, by products of 0/1 matrices over shared shingles."""
+    both = np.intersect1d(s, t)
+    out = np.zeros((len(of) - 1, len(to) - 1), np.float32)
+
+    def places(values, bounds):
+        at = np.minimum(np.searchsorted(both, values), max(0, len(both) - 1))
+        hit = both[at] == values if len(both) else np.zeros(len(values), bool)
+        return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[hit], at[hit]
+
+    (si, sj), (ti, tj) = places(s, of), places(t, to)
+    for low in range(0, len(both), COLUMNS):
+        a, b = np.zeros((out.shape[0], COLUMNS), np.float32), np.zeros((out.shape[1], COLUMNS), np.float32)
+        m, n = (sj >= low) & (sj < low + COLUMNS), (tj >= low) & (tj < low + COLUMNS)
+        a[si[m], sj[m] - low], b[ti[n], tj[n] - low] = 1, 1
+        out += a @ b.T
+    return out.astype(np.int64)
+
+
+def _block_linker(width: int, percent: int):
+    """mapInPandas function over pairs of packed blocks: links between components, as few as connect them."""
+    import pandas as pd
+
+    def link(batches):
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                ids_i, comps_i, s, of = _block_sets(r["ids_i"], r["comps_i"], r["lengths_i"], r["texts_i"], width)
+                ids_j, comps_j, t, to = _block_sets(r["ids_j"], r["comps_j"], r["lengths_j"], r["texts_j"], width)
+                common = common_counts(s, of, t, to)
+                x, y = np.nonzero(_linked(np.diff(of)[:, None], np.diff(to)[None, :], common, percent) & (comps_i[:, None] != comps_j[None, :]))
+                parent: dict[int, int] = {}
+
+                def root(c):
+                    while parent.get(c, c) != c:
+                        c = parent[c]
+                    return c
+
+                out = []
+                for a, b in zip(x.tolist(), y.tolist()):
+                    p, q = root(int(comps_i[a])), root(int(comps_j[b]))
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        out.append((ids_i[a], ids_j[b]))
+                if out:
+                    yield pd.DataFrame(out, columns=["a", "b"])
+
+    return link
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -202,10 +245,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     """
     docs = shared.documents(docs)
     sigs = shared.staged(signatures(docs, shingle_words), "near-signatures")
-    whole = F.struct("text_hash", "n", "d1", "d2", "sig", "left", "right")
+    whole = F.struct("text_hash", "n", "d1", "d2", "left", "right")
     known = sigs.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.min_by(whole, "text_hash").alias("r")).select("doc_id", "r.*")
-    classes = known.groupBy("n", "d1", "d2").agg(F.min_by(F.struct("doc_id", "text_hash", "sig", "left", "right"), "doc_id").alias("r"))
-    classes = shared.staged(classes.select("n", "d1", "d2", F.col("r.doc_id").alias("rep"), "r.text_hash", "r.sig", "r.left", "r.right"), "near-classes")
+    classes = known.groupBy("n", "d1", "d2").agg(F.min_by(F.struct("doc_id", "text_hash", "left", "right"), "doc_id").alias("r"))
+    classes = shared.staged(classes.select("n", "d1", "d2", F.col("r.doc_id").alias("rep"), "r.text_hash", "r.left", "r.right"), "near-classes")
 
     # Sets too small to differ and still reach the threshold link by equality alone.
     least_n = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))
@@ -219,7 +262,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     busiest = buckets.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub"))
     centred = buckets.join(busiest, "key")
     centres = centred.select("id", F.col("first").alias("centre")).unionAll(centred.select("id", F.col("hub").alias("centre"))).where("id <> centre").distinct()
-    size_of = classes.select(F.col("rep").alias("id"), "n", "sig")
+    size_of = classes.select(F.col("rep").alias("id"), "n")
     pairs = shared.staged(_plausible(centres, size_of, percent), "near-pairs")
     # Copies of a row need no second text: one partial aggregate each, on ids that share a key.
     wanted = classes.select(F.col("rep").alias("id"), "text_hash").join(buckets.select("id").distinct(), "id", "left_semi")
@@ -234,16 +277,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     spanning = shared.staged(open_rows.join(split, "key").select("id", "comp", "low").distinct(), "near-spanning")
     if not spanning.isEmpty():
         union = components(spanning.select(F.col("comp").alias("a"), F.col("low").alias("b")), "near-unions").select(F.col("id").alias("comp"), F.col("comp").alias("u"))
-        members = spanning.select("id", "comp").distinct().join(union, "comp").join(size_of, "id")
-        count = members.groupBy("u").agg(F.ceil(F.count("*") / SIGNATURES).alias("chunks"))
-        chunked = members.join(count, "u").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
-        packed = chunked.repartition("u", "chunk").sortWithinPartitions("u", "chunk").select("u", "chunk", "id", "comp", "sig").mapInPandas(_block_packer, "u long, chunk long, ids binary, comps binary, sigs binary")
-        packed = shared.staged(packed, "near-blocks")
-        chunks = packed.select("u", F.col("chunk").alias("other"))
-        i_side = packed.join(chunks, "u").where("other >= chunk").select("u", "other", F.col("ids").alias("ids_i"), F.col("comps").alias("comps_i"), F.col("sigs").alias("sigs_i"))
-        j_side = packed.select("u", F.col("chunk").alias("other"), F.col("ids").alias("ids_j"), F.col("comps").alias("comps_j"), F.col("sigs").alias("sigs_j"))
-        close = i_side.join(j_side, ["u", "other"]).drop("u", "other").mapInPandas(_agreeing(_least_agreeing(percent)), "id long, centre long").where("id <> centre").distinct()
-        more = shared.staged(verified(shared.staged(_plausible(close, size_of, percent), "near-more-pairs"), texts, shingle_words, percent), "near-more-edges")
+        members = spanning.select("id", "comp").distinct().join(union, "comp").join(texts, "id")
+        count = members.groupBy("u").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).alias("chunks"))
+        chunked = members.join(count, "u").withColumn("chunk", F.pmod(F.xxhash64("comp"), F.col("chunks")))
+        packed = chunked.repartition("u", "chunk").sortWithinPartitions("u", "chunk").select("u", "chunk", "id", "comp", "text")
+        packed = shared.staged(packed.mapInPandas(_block_packer, "u long, block long, ids binary, comps binary, lengths binary, texts binary"), "near-blocks")
+        side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("ids", "comps", "lengths", "texts")]
+        i_side = packed.join(packed.select("u", F.col("block").alias("other")), "u").where("other >= block").select("u", "other", *side("i"))
+        j_side = packed.select("u", F.col("block").alias("other"), *side("j"))
+        more = i_side.join(j_side, ["u", "other"]).drop("u", "other").mapInPandas(_block_linker(shingle_words, percent), "a long, b long")
+        more = shared.staged(more, "near-more-edges")
         comp = shared.staged(components(comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionAll(more), "near-final"), "near-components")
 
     class_of = classes.join(comp, classes.rep == comp.id, "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("component_id"))
@@ -254,12 +297,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _least_agreeing(percent: int) -> int:
-    """Places in which signatures agree at the similarity ``percent`` except for about one pair in 100,000."""
-    n, p = 2 * TABLES * BAND_ROWS, percent / 100
-    return int(n * p - 4.2 * (n * p * (1 - p)) ** 0.5)
-
-
 def _plausible(pairs: DataFrame, size_of: DataFrame, percent: int) -> DataFrame:
     """Pairs (id, centre) whose set sizes allow the similarity; exact, since it is at most the sizes' ratio."""
     sized = pairs.join(size_of.select("id", "n"), "id").join(size_of.select(F.col("id").alias("centre"), F.col("n").alias("n_centre")), "centre")
