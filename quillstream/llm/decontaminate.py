@@ -168,9 +168,9 @@ def _doc_windows(packed: bytes, widths: list[int]):
     def run(batches):
         bits = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
+            for a, b in textvec.row_groups(batch.column(1)):
                 lexicon = _kept_lexicon()
-                part = batch.slice(at, 500)
+                part = batch.slice(a, b - a)
                 ids = part.column(0).to_pylist()
                 codes, row, of = canonical([t or "" for t in part.column(1).to_pylist()], lexicon)
                 for width in widths:

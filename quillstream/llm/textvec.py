@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words are runs of bytes other than space, tab, newline, vertical tab, form feed and carriage return.
 SPACES = b" \t\n\r\x0b\x0c"
@@ -105,6 +106,16 @@ def text_groups(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int
         at = stop
 
 
+def row_groups(texts: pa.Array, group_bytes: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, row after the last) of consecutive groups of rows of about ``group_bytes`` of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + group_bytes, "right")))
+        yield at, stop
+        at = stop
+
+
 def by_doc(ufunc: np.ufunc, values: np.ndarray, of: np.ndarray, empty) -> np.ndarray:
     """ufunc reduced over each document's values; ``empty`` for documents without any."""
     out = np.full(len(of) - 1, empty, values.dtype)

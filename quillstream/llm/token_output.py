@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quillstream.llm import shared
 from quillstream.llm.bpe import tokenizer
+from quillstream.llm.textvec import row_groups
 
 SHARD_TOKENS = 1 << 20
 CACHED_CHUNKS = 400_000
@@ -59,7 +60,7 @@ def _tokenizing(path: str, end_id: int):
 
     def run(batches):
         encode_batch, cache, last = tokenizer(path).encode_batch_fast, {}, np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in (b.slice(a, z - a) for b in batches for a, z in row_groups(b.column(1))):
             texts = [(t or "").replace("\n", " ").split(" ") for t in batch.column(1).to_pylist()]
             if len(cache) > CACHED_CHUNKS:
                 cache = {}
