@@ -15,6 +15,7 @@ empty table gives empty files.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -54,12 +55,19 @@ def unpack_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def id_type(path: str) -> str:
+    """The numpy type of ids on their way to the files: two bytes where the vocabulary allows."""
+    return "<u2" if max(tokenizer(path).get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else "<u4"
+
+
 def _tokenizing(path: str, end_id: int):
     """mapInArrow function: ids of whole texts. Space-separated chunks are independent under this kind of vocabulary, whose
     words never hold white space, so a bounded cache of chunks answers most of a text."""
 
     def run(batches):
-        encode_batch, cache, last = tokenizer(path).encode_batch_fast, {}, np.array([end_id], "<u4").tobytes()
+        kind = id_type(path)
+        width, code = (2, "H") if kind == "<u2" else (4, "I")
+        encode_batch, cache, last = tokenizer(path).encode_batch_fast, {}, np.array([end_id], kind).tobytes()
         for batch in (b.slice(a, z - a) for b in batches for a, z in row_groups(b.column(1))):
             texts = [(t or "").replace("\n", " ").split(" ") for t in batch.column(1).to_pylist()]
             if len(cache) > CACHED_CHUNKS:
@@ -67,44 +75,52 @@ def _tokenizing(path: str, end_id: int):
             missing = list({c for chunks in texts for c in chunks if c not in cache})
             for a in range(0, len(missing), 20_000):
                 part = missing[a : a + 20_000]
-                cache.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encode_batch(part, add_special_tokens=False))))
+                cache.update(zip(part, (array(code, e.ids).tobytes() for e in encode_batch(part, add_special_tokens=False))))
             ids = [b"".join(map(cache.__getitem__, chunks)) + last for chunks in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) // width for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return run
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, ids): the library's ids of whole texts and the end id, as little-endian unsigned 32-bit integers."""
+    """(doc_id, n_tokens, ids): the library's ids of whole texts and the end id, as little-endian integers of id_type(path)."""
     return shared.documents(docs).mapInArrow(_tokenizing(path, end_id), "doc_id long, n_tokens long, ids binary")
 
 
-def _counting(batches):
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for ids in batch.column(0):
-            one = np.bincount(np.frombuffer(ids.as_py(), "<u4"))
+def _counting(kind: str):
+    """mapInArrow function: how often a partition has each id."""
+
+    def count(batches):
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            # The values of a binary column lie one after the other in its data buffer.
+            ids = batch.column(0).cast(pa.large_binary())
+            ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+            raw = ids.buffers()[2]
+            one = np.bincount(np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]].view(kind)) if raw is not None and len(ids) else total[:0]
             if len(one) > len(total):
                 total, one = one.astype(np.int64), total
             total[: len(one)] += one
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], names=["id", "n"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], names=["id", "n"])
+
+    return count
 
 
-def _sharder(rank_of: np.ndarray):
+def _sharder(rank_of: np.ndarray, kind: str):
     """mapInArrow function over rows sorted by doc_id: packed shards of the task's part."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, shard = TaskContext.get().partitionId(), 0
+        part, shard, width = TaskContext.get().partitionId(), 0, np.dtype(kind).itemsize
         docs, ids, n = [], [], 0
 
         def flush():
-            values = rank_of[np.frombuffer(b"".join(ids), "<u4")]
+            values = rank_of[np.frombuffer(b"".join(ids), kind)]
             control, data = pack_values(values)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int64()), pa.array([shard], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([[len(i) // 4 for i in ids]], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
+                [pa.array([part], pa.int64()), pa.array([shard], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([[len(i) // width for i in ids]], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
                 names=["part", "shard", "doc_ids", "lengths", "control", "data"],
             )
 
@@ -112,7 +128,7 @@ def _sharder(rank_of: np.ndarray):
             for doc_id, one in zip(batch.column(0).to_pylist(), batch.column(1)):
                 docs.append(doc_id)
                 ids.append(one.as_py())
-                n += len(ids[-1]) // 4
+                n += len(ids[-1]) // width
                 if n >= SHARD_TOKENS:
                     yield flush()
                     docs, ids, n, shard = [], [], 0, shard + 1
@@ -124,15 +140,15 @@ def _sharder(rank_of: np.ndarray):
 
 def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 1) -> None:
     """Tokenize docs and write the token files below ``out``."""
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, id_type(path)
     tokens = shared.staged(tokenize(docs, path, end_id), "tokens")
-    counts = tokens.select("ids").mapInArrow(_counting, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.select("ids").mapInArrow(_counting(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = [r[0] for r in counts.orderBy(F.desc("n"), "id").collect()]  # as many rows as the vocabulary at most
     spark.createDataFrame([(i, v) for i, v in enumerate(ranked)], "rank long, id long").coalesce(1).write.parquet(f"{out}/ranks")
     rank_of = np.zeros(max(ranked, default=0) + 1, np.uint32)
     rank_of[np.array(ranked, np.int64)] = np.arange(len(ranked), dtype=np.uint32)
     placed = tokens.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    placed.mapInArrow(_sharder(rank_of), "part long, shard long, doc_ids array<long>, lengths array<long>, control binary, data binary").write.parquet(f"{out}/shards")
+    placed.mapInArrow(_sharder(rank_of, kind), "part long, shard long, doc_ids array<long>, lengths array<long>, control binary, data binary").write.parquet(f"{out}/shards")
     sizes = spark.read.parquet(f"{out}/shards").select("part", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     sizes.groupBy("part").agg(F.sum("n").alias("tokens")).coalesce(1).write.parquet(f"{out}/parts")
 
