@@ -23,6 +23,8 @@ REFERENCES = {
     "url": r"""(?i)url\(["']?(?!data:)([^"')]+)["']?\)""",
 }
 
+STYLE_LINK = r"""(?i)<link[^>]+rel=["']stylesheet["'][^>]*/?>"""
+
 
 def lookup(table: dict[str, str], key: Column, default: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), default)
@@ -76,27 +78,58 @@ def asset_refs(df: DataFrame, key: str, base: str, html: str = "html") -> DataFr
     return out.select(key, "kind", number.alias("ref_no"), "ref", resolve_href(F.col("_base"), F.col("ref")).alias("path"))
 
 
-def inline_assets(chapter: DataFrame, entries: DataFrame) -> DataFrame:
+def _quoted_swap(t: Column, x: Column) -> Column:
+    """t with a quoted reference replaced by its value, in either kind of quotes."""
+    for mark in ('"', "'"):
+        m = F.lit(mark)
+        t = F.replace(t, F.concat(m, x["ref"], m), F.concat(m, x["value"], m))
+    return t
+
+
+def _ordered(values: DataFrame, key: str, name: str) -> DataFrame:
+    return values.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("kind", "ref_no", "ref", "value"))).alias(name))
+
+
+def inline_assets(chapter: DataFrame, entries: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
     """chapter(book_id, chapter_no, href, html) with images as data URIs, style sheet links removed and their style inlined.
 
-    References without an entry stay as they are. A chapter's assets come by one join on (book, path) and one ordered aggregate.
+    ``sheets`` (book_id, item_idx, href) are style sheets of the whole book, which come before the linked ones. References inside styles
+    are resolved from the book's first sheet, or else from the chapter. References without an entry stay as they are. Assets come by
+    joins on (book, path), and one ordered aggregate a chapter.
     """
+    files = entries.select("book_id", "path", "content")
+    uri = F.concat(F.lit("data:"), media_type(F.col("path")), F.lit(";base64,"), F.base64("content"))
     keyed = chapter.withColumn("_key", F.struct("book_id", "chapter_no"))
     refs = asset_refs(keyed, "_key", "href").where("kind IN ('css', 'img', 'svg')")
-    files = entries.select("book_id", "path", "content")
-    found = refs.join(files, (F.col("_key.book_id") == files.book_id) & (refs.path == files.path))
-    uri = F.concat(F.lit("data:"), media_type(refs.path), F.lit(";base64,"), F.base64("content"))
+    found = refs.withColumn("book_id", F.col("_key.book_id")).join(files, ["book_id", "path"])
     value = F.when(F.col("kind") == "css", F.decode("content", "UTF-8")).otherwise(uri)
-    per = found.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("kind", "ref_no", "ref", value.alias("value")))).alias("a"))
-    joined = keyed.join(per, "_key", "left")
-    css = F.array_join(F.transform(F.filter("a", lambda x: x["kind"] == "css"), lambda x: F.concat(x["value"], F.lit("\n"))), "")
-    swap = lambda t, x: F.replace(F.replace(t, F.concat(F.lit('"'), x["ref"], F.lit('"')), F.concat(F.lit('"'), x["value"], F.lit('"'))), F.concat(F.lit("'"), x["ref"], F.lit("'")), F.concat(F.lit("'"), x["value"], F.lit("'")))
-    swapped = F.aggregate(F.coalesce(F.filter("a", lambda x: x["kind"] != "css"), F.expr("filter(array(a[0]), x -> false)")), F.col("html"), swap)
-    bare = F.regexp_replace(swapped, REFERENCES["css"].replace('href=["\']([^"\']+)["\'][^>]*', ""), "")
-    joined = T.once(joined, _bare=bare, _style=F.concat(F.lit("<style>"), F.coalesce(css, F.lit("")), F.lit("</style>")))
+    joined = keyed.join(_ordered(found.withColumn("value", value), "_key", "_a"), "_key", "left")
+    joined = joined.withColumn("_base", F.col("href")).withColumn("_common", F.lit(""))
+    if sheets is not None:
+        own = sheets.join(files.withColumnRenamed("path", "href"), ["book_id", "href"])
+        order = F.array_sort(F.collect_list(F.struct("item_idx", "href", F.decode("content", "UTF-8").alias("css"))))
+        whole = own.groupBy("book_id").agg(order.alias("s")).select("book_id", F.get("s", F.lit(0))["href"].alias("_first"), F.array_join(F.transform("s", lambda x: F.concat(x["css"], F.lit("\n"))), "").alias("_sheets"))
+        joined = joined.join(whole, "book_id", "left").withColumns({"_base": F.coalesce("_first", "href"), "_common": F.coalesce("_sheets", F.lit(""))}).drop("_first", "_sheets")
+    linked = F.array_join(F.transform(F.filter("_a", lambda x: x["kind"] == "css"), lambda x: F.concat(x["value"], F.lit("\n"))), "")
+    joined = T.once(joined, _css=F.concat("_common", F.coalesce(linked, F.lit(""))))
+    in_css = asset_refs(joined, "_key", "_base", "_css").where("kind = 'url'").withColumn("book_id", F.col("_key.book_id")).join(files, ["book_id", "path"])
+    joined = joined.join(_ordered(in_css.withColumn("value", uri), "_key", "_u"), "_key", "left")
+
+    none = lambda c: F.coalesce(c, F.filter(F.array(F.struct(F.lit("").alias("kind"), F.lit(0).alias("ref_no"), F.lit("").alias("ref"), F.lit("").alias("value"))), lambda x: F.lit(False)))
+
+    def in_url(t: Column, x: Column) -> Column:
+        whole = F.concat(F.lit('url("'), x["value"], F.lit('")'))
+        for before, after in (('url("', '")'), ("url('", "')"), ("url(", ")")):
+            t = F.replace(t, F.concat(F.lit(before), x["ref"], F.lit(after)), whole)
+        return t
+
+    swapped = F.aggregate(none(F.filter("_a", lambda x: x["kind"] != "css")), F.col("html"), _quoted_swap)
+    bare = F.regexp_replace(swapped, STYLE_LINK, "")
+    style = F.concat(F.lit("<style>"), F.aggregate(none(F.col("_u")), F.col("_css"), in_url), F.lit("</style>"))
+    joined = T.once(joined, _bare=bare, _style=style)
     at = F.instr("_bare", F.lit("</head>"))
     placed = F.when(at > 0, F.concat(F.substring("_bare", F.lit(1), at - 1), "_style", F.substring("_bare", at, F.length("_bare")))).otherwise(F.concat("_style", "_bare"))
-    return joined.withColumn("html", placed).drop("_key", "a", "_bare", "_style")
+    return joined.withColumn("html", placed).select(*chapter.columns)
 
 
 def header_text(title: Column, author: Column, source: Column, day: str) -> Column:

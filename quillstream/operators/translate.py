@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,3 +63,25 @@ def assemble(translated: DataFrame) -> DataFrame:
     """(doc_id, text, n_failed): chunks joined by an empty line in order, missing ones empty."""
     per = translated.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "translated"))).alias("p"), F.sum((F.startswith("translated", F.lit(FAILED))).cast("int")).alias("n_failed"))
     return per.select("doc_id", F.array_join(F.transform("p", lambda x: x["translated"]), "\n\n", "").alias("text"), "n_failed")
+
+
+def translate_resumably(chunks: DataFrame, path: str, make: Callable[[], Translator], **options) -> DataFrame:
+    """Translate what the Parquet table at ``path`` does not hold yet, add it there, and return the rows of ``chunks``' contents.
+
+    The table is the progress record: a run that ends early leaves whole finished tasks' rows, and the next one goes on from them.
+    """
+    spark = chunks.sparkSession
+    try:
+        finished = spark.read.parquet(path)
+    except AnalysisException:
+        finished = None
+    todo = chunks if finished is None else pending(chunks, finished)
+    translate_chunks(todo, make, **options).write.mode("append").parquet(path)
+    wanted = chunks.withColumn("chunk_hash", F.sha2("chunk", 256)).select("doc_id", "chunk_idx", "chunk_hash")
+    best = spark.read.parquet(path).join(wanted, ["doc_id", "chunk_idx", "chunk_hash"]).groupBy("doc_id", "chunk_idx").agg(F.max_by(F.struct("chunk", "translated", "status"), F.col("status") != "failed").alias("r"))
+    return best.select("doc_id", "chunk_idx", "r.*")
+
+
+def default_model(names: list[str]) -> str | None:
+    """The first model that a server offers; null if it offers none."""
+    return names[0] if names else None

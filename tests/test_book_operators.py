@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillstream.functions import text as T
 from quillstream.operators import book, chunk, clean, html_text, pdf_text, progress, structure, translate
 from quillstream.plans import pipeline
-from quillstream.sources import epub, texts
+from quillstream.sources import epub, texts, web
 from quillstream.streaming import clean_stream
 
 EQ = "=" * 60
@@ -182,7 +182,7 @@ CONTAINER = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container">
 
 
 def test_epub(spark, tmp_path):
-    good = archive({"META-INF/container.xml": CONTAINER, "OEBPS/c.opf": OPF, "OEBPS/a.xhtml": '<html><head><link rel="stylesheet" href="s.css"/></head><h1>One</h1><img src="i.png"></html>', "OEBPS/b.xhtml": "<p>Two words</p>", "OEBPS/s.css": "p{}", "OEBPS/i.png": b"\x01\x02"})
+    good = archive({"META-INF/container.xml": CONTAINER, "OEBPS/c.opf": OPF, "OEBPS/a.xhtml": '<html><head><link rel="stylesheet" href="s.css"/></head><h1>One</h1><img src="i.png"></html>', "OEBPS/b.xhtml": "<p>Two words</p>", "OEBPS/s.css": "p{}b{background:url(i.png)}", "OEBPS/i.png": b"\x01\x02"})
     (tmp_path / "good.epub").write_bytes(good)
     (tmp_path / "bad.epub").write_bytes(archive({"x": "y"}))
     books = epub.archives(spark, str(tmp_path))
@@ -193,8 +193,13 @@ def test_epub(spark, tmp_path):
     entries = epub.zip_entries(books)
     chapters = book.chapters(order, entries)
     inlined = {r.chapter_no: r.html for r in book.inline_assets(chapters, entries).collect()}
-    assert 'src="data:image/png;base64,AQI="' in inlined[1] and "<style>p{}\n</style></head>" in inlined[1] and "<link" not in inlined[1]
+    assert 'src="data:image/png;base64,AQI="' in inlined[1] and '<style>p{}b{background:url("data:image/png;base64,AQI=")}\n</style></head>' in inlined[1] and "<link" not in inlined[1]
     assert inlined[3] == "<style></style><p>Two words</p>"
+    styled = {r.chapter_no: r.html for r in book.inline_assets(chapters, entries, book.style_sheets(epub.manifest(found))).collect()}
+    assert styled[3] == '<style>p{}b{background:url("data:image/png;base64,AQI=")}\n</style><p>Two words</p>'
+    whole = pipeline.convert_books(spark, str(tmp_path), "2024-01-01").collect()
+    assert len(whole) == 1 and whole[0].text.startswith(f"{EQ}\n  Book\n  by Ann\n{EQ}\n  Converted from good.epub on 2024-01-01\n")
+    assert pipeline.convert_books(spark, str(tmp_path), "d", RULES, lambda: str.lower, sections=False).first().text.endswith("two words")
     text = book.book_texts(html_text.html_to_text(chapters)).first()
     assert text.n_sections == 2 and "Chapter 3:" in text.text and text.text.index("ONE") < text.text.index("Two words")
     assert book.style_sheets(epub.manifest(found)).count() == 1
@@ -226,6 +231,30 @@ def test_translate_and_resume(spark):
     assert sorted(r.chunk for r in translate.pending(changed, got).collect()) == ["never", "new"]
 
 
+def test_resume_on_disk(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, 0, "a"), (1, 1, "never")], "doc_id long, chunk_idx int, chunk string")
+    path = str(tmp_path / "done")
+    assert sorted(r.status for r in translate.translate_resumably(chunks, path, flaky, retries=1).collect()) == ["done", "failed"]
+    again = translate.translate_resumably(chunks, path, lambda: str.title, retries=1).orderBy("chunk_idx").collect()
+    assert [(r.translated, r.status) for r in again] == [("A", "done"), ("Never", "done")]
+
+
+def test_web(spark):
+    numbers = web.chapter_numbers(spark, 1, 12)
+    assert [r.n for r in numbers.where("batch_no = 2").orderBy("n").collect()] == [11, 12] and web.chapter_numbers(spark).count() == 384
+
+    def make():
+        def fetch(n):
+            if n == 2:
+                raise OSError
+            return f"<div id='showReading'>c{n}</div>"
+
+        return fetch
+
+    got = html_text.scraped_chapters(web.fetch_chapters(numbers.where("n < 4"), make, wait=lambda a: 0.0))
+    assert {r.n: r.text for r in got.collect()} == {1: "c1", 2: None, 3: "c3"}
+
+
 def test_stream(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
