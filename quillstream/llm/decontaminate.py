@@ -29,7 +29,7 @@ from quillstream.llm import shared, textvec
 
 WINDOW, MIN_LITERALS, RENAMED_SHARE = 8, 4, 0.5
 BITS = 24
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 
 #: Unit words, recognised after a number.
 UNITS = frozenset(
