@@ -4,13 +4,13 @@ Texts are split into words at places where the tokenizer's own splitting can nev
 space that precedes a non-space, and around white space and added special tokens. Each distinct word of the corpus is
 encoded once; its ids come back by block and position:
 
-1. a block is the documents of one task up to BLOCK_BYTES of text. It numbers its distinct words and sends
-   (word, block, number) to be encoded, and its documents as word numbers, packed;
-2. rows of one word meet sorted on the word; the word is encoded once and every asking block gets its ids;
-3. the ids of a block's words and its documents meet, and the documents' ids are gathered by word number.
+1. a block is the documents of one task up to BLOCK_BYTES of text. It numbers its distinct words and asks for their ids by
+   bucket, a hash of the word, in one packed row per bucket; its documents become word numbers, packed too;
+2. the rows of a bucket meet; each distinct word among them is encoded once and every asking block gets its words' ids;
+3. the ids of a block's words and its documents meet, and the documents' ids are gathered by word number and position.
 
-Every step streams over sorted rows, so memory holds one block's words and a word asked for by every block
-costs one row per block, however often it occurs. Step 1's two outputs are computed from one scan
+Every step streams over sorted rows, so memory holds one block's words or one bucket's, and a word that every block asks
+for costs each block once, however often it occurs. Step 1's two outputs are computed from one scan
 each; blocks are named by a digest of their words, and ids that do not fit a block's words raise an error. Decoding joins ids to the
 id-to-piece table, which is as large as the vocabulary.
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import defaultdict
 from itertools import chain, count
 
@@ -33,10 +34,12 @@ from pyspark.sql import functions as F
 
 from quillstream.llm import shared
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, OUT_BYTES, PACK_WORDS, BUCKETS_PER_PARTITION = 16 << 20, 8 << 20, 1 << 16, 16
 #: White space as the tokenizer's pattern has it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Between packed words. A word never holds white space after another character, so this stands in none.
+SEPARATOR = "\x00\n\x00"
 _tokenizers: dict = {}
 
 
@@ -91,94 +94,121 @@ def _blocks(batches, path: str, block_bytes: int):
 
 def _digest(words: list[str]) -> tuple[int, bytes]:
     """A block's id and a longer digest to check it by: both follow from its words, so blocks with the same words are one."""
-    found = hashlib.blake2b("\x00".join(words).encode(), digest_size=24).digest()
+    found = hashlib.blake2b(SEPARATOR.join(words).encode(), digest_size=24).digest()
     return int.from_bytes(found[:8], "little", signed=True), found[8:]
 
 
-def _requester(path: str, block_bytes: int):
+def _bucket_order(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the words by bucket, then by word; the bucket of each). A bucket is a hash of the word."""
+    bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+    by_word = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+    order = by_word[np.argsort(bucket[by_word], kind="stable")]
+    return order, bucket[order]
+
+
+def _requester(path: str, block_bytes: int, buckets: int):
+    """mapInArrow function: for each block and bucket, the bucket's words of that block, packed in order."""
+    import zstandard
+
     def ask(batches):
         for words, _ in _blocks(batches, path, block_bytes):
             block, _ = _digest(words)
-            for a in range(0, len(words), 50_000):
-                part = words[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), block, np.int64)), pa.array(np.arange(a, a + len(part), dtype=np.int32))], names=["word", "block", "number"])
+            order, bucket = _bucket_order(words, buckets)
+            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() + [len(order)] if len(order) else [0]
+            packs = [zstandard.compress(SEPARATOR.join([words[i] for i in order[a:b].tolist()]).encode(), 3) for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(np.full(len(packs), block, np.int64)), pa.array(packs, pa.binary())], names=["bucket", "block", "words"])
 
     return ask
 
 
-def _pack(numbers: np.ndarray) -> bytes:
+def _planes(numbers: np.ndarray) -> bytes:
+    """Little-endian unsigned 32-bit integers, one byte place after the other: the high places hardly take room."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length or several, behind their lengths."""
     import zstandard
 
-    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    head = np.array([len(arrays), *map(len, arrays)], "<u4").tobytes()
+    return head + zstandard.compress(b"".join(map(_planes, arrays)), 3)
 
 
-def _unpack(packed: bytes) -> np.ndarray:
+def _unpack(packed: bytes) -> list[np.ndarray]:
     import zstandard
 
-    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    n = int.from_bytes(packed[:4], "little")
+    sizes = np.frombuffer(packed, "<u4", n, 4).tolist()
+    raw, out, at = zstandard.decompress(packed[4 + 4 * n :]), [], 0
+    for size in sizes:
+        out.append(_from_planes(raw[at : at + 4 * size]))
+        at += 4 * size
+    return out
+
 
+MEETING = "block long, kind int, bucket long, doc_ids array<long>, check binary, payload binary"
+
+
+def _meeting(block, kind, buckets, doc_ids, check, payloads):
+    n = len(payloads)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(block if isinstance(block, list) else [block] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(buckets, pa.int64()), pa.array(doc_ids, pa.list_(pa.int64())), pa.array([check] * n, pa.binary()), pa.array(payloads, pa.binary())],
+        names=["block", "kind", "bucket", "doc_ids", "check", "payload"],
+    )
+
+
+def _sender(path: str, block_bytes: int, buckets: int):
+    """mapInArrow function: a block's word order (kind 1) and its documents as word numbers (kind 2), PACK_WORDS at a time."""
 
-def _sender(path: str, block_bytes: int):
     def send(batches):
         for words, docs in _blocks(batches, path, block_bytes):
             block, check = _digest(words)
-            for a in range(0, len(docs), 1000):
-                part = docs[a : a + 1000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(part), pa.int64()), pa.array([1] * len(part), pa.int32()), pa.array([d for d, _ in part], pa.int64()), pa.array([len(words)] * len(part), pa.int32()), pa.array([check] * len(part), pa.binary()), pa.array([_pack(n) for _, n in part], pa.binary())],
-                    names=["block", "kind", "doc_id", "words", "check", "payload"],
-                )
+            yield _meeting(block, 1, [0], [None], check, [_pack(_bucket_order(words, buckets)[0])])
+            ids, numbers, held = [], [], 0
+            for k, (doc_id, one) in enumerate(docs):
+                ids.append(doc_id)
+                numbers.append(one)
+                held += len(one)
+                if held >= PACK_WORDS or k == len(docs) - 1:
+                    yield _meeting(block, 2, [k], [ids], check, [_pack(np.array(list(map(len, numbers))), np.concatenate(numbers))])
+                    ids, numbers, held = [], [], 0
 
     return send
 
 
-def _encoder(path: str, held: int = 400_000):
-    """mapInArrow function over rows (word, block, number) sorted by word: packed ids for each block."""
-
-    def flush(blocks, numbers, lengths, ids):
-        import zstandard
+def _encoder(path: str):
+    """mapInArrow function over rows (bucket, block, words) sorted by bucket: each distinct word of a bucket is encoded once."""
+    import zstandard
 
-        blocks, numbers, lengths = np.concatenate(blocks), np.concatenate(numbers), np.concatenate(lengths)
-        ids = np.concatenate(ids)
+    def answers(rows):
+        """Packed ids (kind 0) for each block that asked in a bucket."""
+        asked = [(block, zstandard.decompress(packed).decode().split(SEPARATOR)) for _, block, packed in rows]
+        distinct = list(dict.fromkeys(w for _, words in asked for w in words))
+        found = [e.ids for e in tokenizer(path).encode_batch_fast(distinct, add_special_tokens=False)]
+        number = dict(zip(distinct, range(len(distinct))))
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
         starts = np.cumsum(lengths) - lengths
-        order = np.lexsort((numbers, blocks))
-        cuts = np.flatnonzero(np.append(True, blocks[order][1:] != blocks[order][:-1])).tolist() + [len(order)]
-        found, payloads = [], []
-        for a, b in zip(cuts, cuts[1:]):
-            rows = order[a:b]
-            mine = gather(ids, starts[rows], lengths[rows])
-            parts = [numbers[rows].astype("<u4").tobytes(), lengths[rows].astype("<u4").tobytes(), mine.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()]
-            found.append(blocks[rows[0]])
-            payloads.append(len(rows).to_bytes(4, "little") + zstandard.compress(b"".join(parts), 3))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(found, pa.int64()), pa.array([0] * len(found), pa.int32()), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary()), pa.array(payloads, pa.binary())],
-            names=["block", "kind", "doc_id", "words", "check", "payload"],
-        )
+        payloads = []
+        for _, words in asked:
+            at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            payloads.append(_pack(lengths[at], gather(flat, starts[at], lengths[at])))
+        return _meeting([block for block, _ in asked], 0, [rows[0][0]] * len(asked), [None] * len(asked), None, payloads)
 
     def encode(batches):
-        encode_batch = tokenizer(path).encode_batch_fast
-        last, last_ids, kept, n = None, None, ([], [], [], []), 0
+        rows = []
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            new = [i for i, w in enumerate(words) if w != (words[i - 1] if i else last)]
-            encoded = [np.array(e.ids, np.uint32) for e in encode_batch([words[i] for i in new], add_special_tokens=False)]
-            which = np.zeros(len(words), np.int64)
-            which[new] = 1
-            which = np.cumsum(which)
-            table = [last_ids if last_ids is not None else np.zeros(0, np.uint32), *encoded]
-            lengths = np.array([len(x) for x in table])
-            starts, flat = np.cumsum(lengths) - lengths, np.concatenate(table)
-            kept[0].append(batch.column(1).to_numpy())
-            kept[1].append(batch.column(2).to_numpy())
-            kept[2].append(lengths[which])
-            kept[3].append(gather(flat, starts[which], lengths[which]))
-            last, last_ids, n = words[-1] if words else last, table[-1], n + len(words)
-            if n >= held:
-                yield flush(*kept)
-                kept, n = ([], [], [], []), 0
-        if n:
-            yield flush(*kept)
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and rows[0][0] != row[0]:
+                    yield answers(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield answers(rows)
 
     return encode
 
@@ -190,53 +220,63 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 def _assembler(batches):
-    """mapInArrow function over rows sorted by block, ids before documents: documents' ids."""
-    import zstandard
+    """mapInArrow function over rows sorted by block, kind and bucket: ids of a block's words, their order, its documents."""
 
-    block, numbers, lengths, ids, ready = None, [], [], [], None
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([len(x[1]) // 4 for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+
+    block, last_bucket, answers, table, check = None, None, [], None, None
     for batch in batches:
-        kinds, out = batch.column(1).to_pylist(), []
-        blocks, docs, sizes, checks = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
-        for i, payload in enumerate(batch.column(5)):
-            payload = payload.as_py()
-            if blocks[i] != block:
-                block, numbers, lengths, ids, ready, agreed = blocks[i], [], [], [], None, checks[i]
-            if kinds[i] == 0:
-                n, raw = int.from_bytes(payload[:4], "little"), zstandard.decompress(payload[4:])
-                numbers.append(np.frombuffer(raw, "<u4", n))
-                lengths.append(np.frombuffer(raw, "<u4", n, 4 * n))
-                ids.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=8 * n).reshape(4, -1).T).view("<u4").ravel())
+        out, held = [], 0
+        for b, kind, bucket, doc_ids, own_check, payload in zip(*batch.columns[:6]):
+            b, kind, bucket = b.as_py(), kind.as_py(), bucket.as_py()
+            if b != block:
+                block, last_bucket, answers, table, check = b, None, [], None, None
+            if kind == 0:
+                if bucket != last_bucket:  # blocks of the same words ask, and are answered, more than once
+                    answers.append(_unpack(payload.as_py()))
+                last_bucket = bucket
+                continue
+            if kind == 1:
+                if table is None:
+                    (order,) = _unpack(payload.as_py())
+                    lengths = np.concatenate([x[0] for x in answers]).astype(np.int64) if answers else np.zeros(0, np.int64)
+                    if len(lengths) != len(order):
+                        raise ValueError(f"block {block} has {len(order)} words and got ids of {len(lengths)}")
+                    size, start = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+                    size[order], start[order] = lengths, np.cumsum(lengths) - lengths
+                    table, check, answers = (np.concatenate([x[1] for x in answers]) if answers else np.zeros(0, np.uint32), start, size), own_check.as_py(), []
                 continue
-            if ready is None:
-                number = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
-                if not np.array_equal(np.unique(number), np.arange(sizes[i])):
-                    raise ValueError(f"block {block} has {sizes[i]} words and got ids of others")
-                of, flat = np.zeros(sizes[i], np.int64), np.zeros(sizes[i], np.int64)
-                if len(number):
-                    size = np.concatenate(lengths).astype(np.int64)
-                    of[number], flat[number] = np.cumsum(size) - size, size
-                ready, agreed = (np.concatenate(ids) if ids else np.zeros(0, np.uint32), of, flat), checks[i]
-                numbers, lengths, ids = [], [], []
-            if checks[i] != agreed:
+            if own_check.as_py() != check:
                 raise ValueError(f"block {block} was computed from different rows")
-            words = _unpack(payload)
-            mine = gather(ready[0], ready[1][words], ready[2][words])
-            out.append((docs[i], len(mine), mine.astype("<u4").tobytes()))
+            lengths, numbers = _unpack(payload.as_py())
+            ids = gather(table[0], table[1][numbers], table[2][numbers]).astype("<u4")
+            # Where documents end, in ids: sums of their words' lengths.
+            ends = np.concatenate([[0], np.cumsum(table[2][numbers])])[np.cumsum(lengths.astype(np.int64))] * 4
+            raw, begin = ids.tobytes(), 0
+            for doc_id, end in zip(doc_ids.as_py(), ends.tolist()):
+                out.append((doc_id, raw[begin:end]))
+                begin = end
+            held += len(raw)
+            if held > OUT_BYTES:
+                yield batch_of(out)
+                out, held = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            yield batch_of(out)
 
 
 def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids) of docs(doc_id, text); ids are little-endian unsigned 32-bit integers.
 
-    docs must be a table or file scan, whose partitions are the same when they are read again.
+    docs must be a table or file scan, whose partitions are the same when they are read again. The number of buckets follows
+    the number of partitions, so a bucket's distinct words stay as many as the input grows.
     """
     docs = shared.documents(docs)
-    asked = docs.mapInArrow(_requester(path, block_bytes), "word string, block long, number int")
-    kinds = "block long, kind int, doc_id long, words int, check binary, payload binary"
-    answered = asked.repartition("word").sortWithinPartitions("word").mapInArrow(_encoder(path), kinds)
-    sent = docs.mapInArrow(_sender(path, block_bytes), kinds)
-    met = answered.unionAll(sent).repartition("block").sortWithinPartitions("block", "kind")
+    buckets = BUCKETS_PER_PARTITION * max(4, docs.rdd.getNumPartitions())
+    asked = docs.mapInArrow(_requester(path, block_bytes, buckets), "bucket long, block long, words binary")
+    answered = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoder(path), MEETING)
+    sent = docs.mapInArrow(_sender(path, block_bytes, buckets), MEETING)
+    met = answered.unionAll(sent).repartition("block").sortWithinPartitions("block", "kind", "bucket")
     return met.mapInArrow(_assembler, "doc_id long, n_tokens long, ids binary")
 
 
