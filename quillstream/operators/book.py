@@ -9,12 +9,12 @@ from quillstream.functions import text as T
 
 #: Media types by extension.
 MEDIA_TYPES = {
-    "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "svg": "image/svg+xml", "webp": "image/webp", "bmp": "image/bmp", "ico": "image/x-icon",
-    "css": "text/css", "js": "application/javascript", "woff": "font/woff", "woff2": "font/woff2", "ttf": "font/ttf", "otf": "font/otf",
+    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "webp": "image/webp", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff",
+    "css": "text/css", "ttf": "font/ttf", "otf": "font/otf", "woff": "font/woff", "woff2": "font/woff2",
 }
 DEFAULT_MEDIA_TYPE = "application/octet-stream"
 #: Names of target languages.
-LANGUAGES = {"en": "English", "es": "Spanish", "fr": "French", "de": "German", "it": "Italian", "pt": "Portuguese", "ru": "Russian", "ja": "Japanese", "ko": "Korean", "zh": "Chinese", "ar": "Arabic"}
+LANGUAGES = {"ES": "Spanish", "EN": "English", "FR": "French", "DE": "German", "IT": "Italian", "PT": "Portuguese", "JA": "Japanese", "KO": "Korean", "ZH": "Chinese", "RU": "Russian", "AR": "Arabic"}
 #: Asset references in chapters and style sheets, the reference in the first group.
 REFERENCES = {
     "css": r"""(?i)<link[^>]+rel=["']stylesheet["'][^>]*href=["']([^"']+)["'][^>]*/?>""",
@@ -36,7 +36,8 @@ def media_type(path: Column) -> Column:
 
 
 def language_name(code: Column) -> Column:
-    return lookup(LANGUAGES, code, code)
+    """The name of a language code in any case, or else the code."""
+    return lookup(LANGUAGES, F.upper(code), code)
 
 
 def resolve_href(base: Column, href: Column) -> Column:

@@ -11,8 +11,16 @@ from quillstream.functions import text as T
 BULLETS = "\u2022\u00b7\u25aa\u25b8\u25ba-"
 EMPTY_RUN = 2
 
-#: Fixed values: (type, bold, relative size, space before, space after) of rendered lines.
-STYLES = [("h1", True, 1.8, 20, 12), ("h2", True, 1.4, 16, 8), ("h3", True, 1.2, 12, 6), ("separator", False, 1.0, 6, 6), ("bullet", False, 1.0, 0, 2), ("image-placeholder", False, 0.9, 4, 4), ("empty", False, 1.0, 0, 0), ("body", False, 1.0, 0, 4)]
+#: Fixed values: (type, font, size in points, lines before, lines after, points needed on the page, alignment) of rendered lines.
+STYLES = [
+    ("h1", "Helvetica-Bold", 20, 0.8, 0.5, 80, "center"),
+    ("h2", "Helvetica-Bold", 16, 0.6, 0.3, 60, "left"),
+    ("h3", "Helvetica-Bold", 13, 0.4, 0.2, 50, "left"),
+    ("bullet", "Helvetica", 11, 0.0, 0.0, 0, "left"),
+    ("image-placeholder", "Helvetica-Oblique", 10, 0.0, 0.0, 0, "center"),
+    ("empty", "Helvetica", 11, 0.4, 0.0, 0, "left"),
+    ("body", "Helvetica", 11, 0.0, 0.0, 0, "left"),
+]
 
 
 def classified(line: Column, before: Column, after: Column) -> Column:
@@ -45,18 +53,18 @@ def classify_lines(df: DataFrame, text: str = "text", *keep: str) -> DataFrame:
 
 
 def rendered(lines: DataFrame, *key: str) -> DataFrame:
-    """lines with ``rendered``: false for the empty lines past the second of a run; separators neither count nor end a run."""
+    """lines with ``rendered``: false for separators, which neither count nor end a run, and for the empty lines past the second of a run."""
     order = Window.partitionBy(*key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     ended = lines.withColumn("_run", F.sum(F.when(F.col("type").isin("empty", "separator"), 0).otherwise(1)).over(order))
     within = Window.partitionBy(*key, "_run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     nth = F.sum(F.when(F.col("type") == "empty", 1).otherwise(0)).over(within)
-    return ended.withColumn("rendered", (F.col("type") != "empty") | (nth <= EMPTY_RUN)).drop("_run")
+    return ended.withColumn("rendered", (F.col("type") != "separator") & ((F.col("type") != "empty") | (nth <= EMPTY_RUN))).drop("_run")
 
 
 def styled(lines: DataFrame) -> DataFrame:
-    """lines with the layout style of their type; the eight types are a constant lookup."""
+    """lines with the layout style of their type, a constant lookup; a separator has none."""
     pick = lambda i: F.element_at(F.create_map(*[x for s in STYLES for x in (F.lit(s[0]), F.lit(s[i]))]), F.col("type"))
-    return lines.withColumns({"bold": pick(1), "size": pick(2), "space_before": pick(3), "space_after": pick(4)})
+    return lines.withColumns({"font": pick(1), "size": pick(2), "lines_before": pick(3), "lines_after": pick(4), "needed": pick(5), "align": pick(6)})
 
 
 def doc_title(text: Column, fallback: Column) -> Column:

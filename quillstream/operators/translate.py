@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
+from urllib.request import Request, urlopen
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -85,3 +87,27 @@ def translate_resumably(chunks: DataFrame, path: str, make: Callable[[], Transla
 def default_model(names: list[str]) -> str | None:
     """The first model that a server offers; null if it offers none."""
     return names[0] if names else None
+
+
+def server_models(endpoint: str, timeout: float = 30.0) -> list[str]:
+    """Names of the models that a chat-completions server offers; raises OSError if it cannot be reached."""
+    with urlopen(f"{endpoint}/models", timeout=timeout) as r:
+        return [m["id"] for m in json.load(r).get("data", [])]
+
+
+def chat_translator(endpoint: str, model: str | None, language: str, temperature: float = 0.2, timeout: float = 600.0) -> Callable[[], Translator]:
+    """A translator by a chat-completions server."""
+
+    def make() -> Translator:
+        def run(text: str) -> str:
+            messages = [{"role": "system", "content": prompt(language)}, {"role": "user", "content": text}]
+            body = json.dumps({"model": model, "messages": messages, "temperature": temperature, "stream": False}).encode()
+            with urlopen(Request(f"{endpoint}/chat/completions", body, {"Content-Type": "application/json"}), timeout=timeout) as r:
+                answer = json.load(r)["choices"][0]["message"]["content"].strip()
+            if not answer:
+                raise ValueError("empty answer")
+            return answer
+
+        return run
+
+    return make

@@ -237,7 +237,7 @@ ORACLE_SQL = {
     "sentence_split": f"WITH parts AS (SELECT doc_id, regexp_extract_all(text, '[^.!?]+[.!?]+[{CLS}]*') AS s, text FROM documents), filled AS (SELECT doc_id, CASE WHEN len(s) > 0 THEN s ELSE [text] END AS s FROM parts) SELECT doc_id, CAST(i - 1 AS INTEGER) AS sentence_no, {trim('s[i]')} AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM filled)",
     "classify_lines": f"WITH {NOISY}, {LINE_CHUNKS}, {TYPED} SELECT doc_id, line_no, type, {_typed_text} AS text FROM typed",
     "line_type_counts": f"WITH {NOISY}, {LINE_CHUNKS}, {TYPED} SELECT type, count(*) AS n FROM typed GROUP BY type",
-    "empty_run_cap": f"WITH {NOISY}, {LINE_CHUNKS}, {TYPED}, runs AS (SELECT *, sum(CASE WHEN type IN ('empty', 'separator') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM typed), nth AS (SELECT *, sum(CASE WHEN type = 'empty' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, run ORDER BY line_no) AS k FROM runs) SELECT doc_id, line_no, type <> 'empty' OR k <= 2 AS rendered FROM nth",
+    "empty_run_cap": f"WITH {NOISY}, {LINE_CHUNKS}, {TYPED}, runs AS (SELECT *, sum(CASE WHEN type IN ('empty', 'separator') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM typed), nth AS (SELECT *, sum(CASE WHEN type = 'empty' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, run ORDER BY line_no) AS k FROM runs) SELECT doc_id, line_no, type <> 'separator' AND (type <> 'empty' OR k <= 2) AS rendered FROM nth",
     "doc_title": f"WITH {NOISY}, ls AS (SELECT doc_id, list_filter(list_transform(string_split(text, {q(chr(10))})[1:10], lambda l: {trim('l')}), lambda l: l <> '' AND NOT regexp_matches(l, {q(f'^[=─#{CLS}-]*$')})) AS g FROM noisy) SELECT doc_id, coalesce(left(g[1], 100), 'doc' || doc_id) AS title FROM ls",
     "pdf_lines": PDF,
     "progress_compact": f"WITH {PARAGRAPHS}, {RECORDS} SELECT doc_id, array_to_string(list_filter(translated, lambda c: c IS NOT NULL), {q(chr(10) * 2)}) AS partial, array_to_string(list_transform(translated, lambda c: coalesce(c, '')), {q(chr(10) * 2)}) AS final FROM records",

@@ -21,9 +21,28 @@ def rules_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()["value"]
 
 
+def hidden_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of files whose names begin with a dot, which Spark's file sources pass over.
+
+    For the few small progress files that translators leave: the driver lists and reads them through Hadoop's file system.
+    """
+    jvm, where = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = []
+    for status in fs.globStatus(where) or []:
+        if status.isFile():
+            stream = fs.open(status.getPath())
+            try:
+                rows.append((status.getPath().toString(), bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")))
+            finally:
+                stream.close()
+    return spark.createDataFrame(rows, "path string, text string")
+
+
 def progress_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, json) of progress files."""
-    return whole_texts(spark, path).withColumnRenamed("text", "json")
+    """(path, json) of progress files, hidden or not."""
+    hidden = path.rstrip("/").rpartition("/")[2].startswith(".")
+    return (hidden_texts if hidden else whole_texts)(spark, path).withColumnRenamed("text", "json")
 
 
 def write_texts(df: DataFrame, path: str, text: str = "text") -> None:

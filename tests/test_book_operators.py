@@ -1,12 +1,15 @@
 """Golden cases of the document operators."""
 
+import http.server
 import io
 import json
+import threading
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillstream import __main__ as cli
 from quillstream.functions import text as T
 from quillstream.operators import book, chunk, clean, html_text, pdf_text, progress, structure, translate
 from quillstream.plans import pipeline
@@ -127,7 +130,7 @@ def test_classify(spark):
 def test_empty_runs_and_titles(spark):
     df = structure.classify_lines(spark.createDataFrame([(1, "a\n\n\n----------\n\nb\n\n")], "k int, text string"), "text", "k")
     got = [r.rendered for r in structure.styled(structure.rendered(df, "k")).orderBy("line_no").collect()]
-    assert got == [True, True, True, True, False, True, True, True]
+    assert got == [True, True, True, False, False, True, True, True]
     titles = one(spark, ["\n====\n  Title " + "x" * 200, "==\n--", "\n" * 10 + "late"], lambda c: structure.doc_title(c, F.lit("file")))
     assert titles == ["Title " + "x" * 94, "file", "file"]
 
@@ -157,11 +160,15 @@ def test_progress(spark):
 def test_paths(spark):
     df = spark.createDataFrame([("OEBPS/content.opf", "../img/a.png"), ("c.opf", "a.html"), ("a/b.opf", "../../x"), ("a/b", "./c/../d")], "b string, h string")
     assert [r[0] for r in df.select(book.resolve_href(F.col("b"), F.col("h"))).collect()] == ["img/a.png", "a.html", "x", "a/d"]
-    assert one(spark, ["A.JPG", "x.bin", "noext", "a.b/c"], book.media_type) == ["image/jpeg", "application/octet-stream", "application/octet-stream", "application/octet-stream"]
+    assert one(spark, ["A.TIF", "x.bin", "noext", "a.b/c"], book.media_type) == ["image/tiff", "application/octet-stream", "application/octet-stream", "application/octet-stream"]
     assert one(spark, ["a.PDF", "b.epub", "c.txt"], texts.source_kind) == ["pdf", "epub", None]
     assert one(spark, ["500", "1048577"], lambda c: book.size_label(c.cast("long"))) == ["0 KB", "1.00 MB"]
 
 
+def test_languages(spark):
+    assert one(spark, ["es", "ZH", "xx"], book.language_name) == ["Spanish", "Chinese", "xx"]
+
+
 def test_header(spark):
     assert one(spark, ["T"], lambda c: book.header_text(c, F.lit(None).cast("string"), F.lit("b.epub"), "2024-01-01")) == [f"{EQ}\n  T\n{EQ}\n  Converted from b.epub on 2024-01-01\n{EQ}\n\n\n"]
     assert one(spark, [None], lambda c: book.header_text(c, F.lit("A"), F.lit("s"), "d"))[0].startswith(f"{EQ}\n  (Untitled)\n  by A\n")
@@ -282,3 +289,43 @@ def test_pipeline(spark):
     shouted = pipeline.pipeline(pages.where("page_id = 1"), "page_id", RULES, lambda: str.lower).first().text
     assert shouted == f"{EQ}\nt\n{EQ}\n\na b"
     assert pipeline.layout(spark.createDataFrame([(1, "a")], "k int, text string"), "k").first().type == "body"
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("# x\nps: gone\nkeep  it")
+    args = cli.parser().parse_args(["clean", str(tmp_path / "in"), str(tmp_path / "out")])
+    got = cli.run(spark, args).first()
+    assert got.path.endswith("in/a_cleaned.txt") and got.text == "# x\nkeep it"
+    assert cli.run(spark, cli.parser().parse_args(["layout", str(tmp_path / "in"), "o"])).count() == 3
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / ".b_translate_progress.json").write_text('{"translated":["a",null]}')
+    got = cli.run(spark, cli.parser().parse_args(["partial", str(tmp_path / "p" / ".b_translate_progress.json"), "o"])).first()
+    assert got.path.endswith("p/b_partial.txt") and got.text == "a"
+
+
+def test_chat_translator(spark):
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def answer(self, body):
+            data = json.dumps(body).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(data)
+
+        def do_GET(self):
+            self.answer({"data": [{"id": "m1"}, {"id": "m2"}]})
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.answer({"choices": [{"message": {"content": f" {asked['model']}:{asked['messages'][1]['content']} "}}]})
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/v1"
+    model = translate.default_model(translate.server_models(url))
+    chunks = spark.createDataFrame([(1, 0, "hola")], "doc_id long, chunk_idx int, chunk string")
+    assert translate.translate_chunks(chunks, translate.chat_translator(url, model, "English")).first().translated == "m1:hola"
+    server.shutdown()
