@@ -14,8 +14,10 @@ empty table gives empty files.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from quillstream.llm.bpe import tokenizer
 from quillstream.llm.textvec import row_groups
 
 SHARD_TOKENS = 1 << 20
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 900_000
 LENGTHS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
 
@@ -60,19 +62,39 @@ def id_type(path: str) -> str:
     return "<u2" if max(tokenizer(path).get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else "<u4"
 
 
+#: A character that simple lower-casing and splitting must not touch: none but Latin letters without combining marks, no dotted capital I.
+_NOT_PLAIN = re.compile("[^\x00-\u024f]|\u0130|<\\|")
+#: Punctuation between a letter and a space.
+_AFTER_LETTER = re.compile("[.,;:!?](?<=[a-z\xdf-\xf6\xf8-\u024f].)[.,;:!?]*(?= |\\Z)")
+
+
+_caches: dict[str, dict[str, bytes]] = {}
+
+
+def chunks_of(text: str) -> list[str]:
+    """Parts of a text that the vocabulary encodes one by one.
+
+    Its words never hold white space, so spaces separate parts that do not depend on each other; in plain Latin texts capitals are
+    lower-cased, as the vocabulary does, and punctuation is cut from a letter before it, where it begins a word of its own anyway.
+    """
+    text = text.replace("\n", " ")
+    if not _NOT_PLAIN.search(text):
+        text = _AFTER_LETTER.sub(" \\g<0>", text.lower())
+    return text.split(" ")
+
+
 def _tokenizing(path: str, end_id: int):
-    """mapInArrow function: ids of whole texts. Space-separated chunks are independent under this kind of vocabulary, whose
-    words never hold white space, so a bounded cache of chunks answers most of a text."""
+    """mapInArrow function: ids of whole texts. A bounded cache of chunks, kept between a process's tasks, answers most of a text."""
 
     def run(batches):
         kind = id_type(path)
         width, code = (2, "H") if kind == "<u2" else (4, "I")
-        encode_batch, cache, last = tokenizer(path).encode_batch_fast, {}, np.array([end_id], kind).tobytes()
+        encode_batch, cache, last = tokenizer(path).encode_batch_fast, _caches.setdefault(path, {}), np.array([end_id], kind).tobytes()
         for batch in (b.slice(a, z - a) for b in batches for a, z in row_groups(b.column(1))):
-            texts = [(t or "").replace("\n", " ").split(" ") for t in batch.column(1).to_pylist()]
+            texts = [chunks_of(t or "") for t in batch.column(1).to_pylist()]
             if len(cache) > CACHED_CHUNKS:
-                cache = {}
-            missing = list({c for chunks in texts for c in chunks if c not in cache})
+                cache.clear()
+            missing = list(set(chain.from_iterable(texts)).difference(cache))
             for a in range(0, len(missing), 20_000):
                 part = missing[a : a + 20_000]
                 cache.update(zip(part, (array(code, e.ids).tobytes() for e in encode_batch(part, add_special_tokens=False))))

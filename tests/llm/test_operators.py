@@ -152,7 +152,7 @@ def test_word_hashes_follow_words():
 
 TOKEN_TEXTS = [
     "", None, "a  <|endoftext|>  b", "x<|endoftext|>", "  lead", "trail  \n\n", "tab\t\tx   y\u0085z", "don't we'll 'S", "\x1c\x1d a\x1fb", "é ́x İ ΑΣ ΣΣ",
-    "\U0001f600 ‍ 漢字 <|startoftext|> <|ENDOFTEXT|>", " ", "\n", "a" * 5000, "<<<|endoftext|>>", "a \n <|endoftext|> \n b", "same", "same",
+    "\U0001f600 ‍ 漢字 <|startoftext|> <|ENDOFTEXT|>", " ", "\n", "a" * 5000, "<<<|endoftext|>>", "a \n <|endoftext|> \n b", "same", "same", "nul\x00 \x00\n\x00 \x00\x00\n", "\n\n\x00\n",
 ]
 
 
@@ -188,6 +188,16 @@ def test_token_output(spark, token_rows):
     assert {r.doc_id: tuple(r) for r in token_output.op9_token_output(spark, path).collect()} == want
 
 
+def test_chunks_encode_like_whole_texts():
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(4)
+    parts = ["a", "B", "é", "É", "ß", "İ", "Σ", "J", "\u030c", " ", " ", "\n", "\t", ".", ",", "!", "'s", "'", "*", "1", "<|", "|>", "ENDOFTEXT", "÷", "ŉ", "...", "\x1c", "\xa0", "漢", "<|endoftext|>"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, rng.integers(1, 12)))
+        ids = [i for c in token_output.chunks_of(text) for i in t.encode(c, add_special_tokens=False).ids]
+        assert ids == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_value_coding():
     rng = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 5, 1001):
