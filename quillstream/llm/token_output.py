@@ -29,7 +29,7 @@ from quillstream.llm.bpe import tokenizer
 from quillstream.llm.textvec import row_groups
 
 SHARD_TOKENS = 1 << 20
-CACHED_CHUNKS = 900_000
+CACHED_CHUNKS = 1_400_000
 LENGTHS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
 
@@ -62,8 +62,8 @@ def id_type(path: str) -> str:
     return "<u2" if max(tokenizer(path).get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else "<u4"
 
 
-#: A character that simple lower-casing and splitting must not touch: none but Latin letters without combining marks, no dotted capital I.
-_NOT_PLAIN = re.compile("[^\x00-\u024f]|\u0130|<\\|")
+#: What simple lower-casing and splitting must not touch: all but Latin characters without combining marks, and the dotted capital I.
+_NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 #: Punctuation between a letter and a space.
 _AFTER_LETTER = re.compile("[.,;:!?](?<=[a-z\xdf-\xf6\xf8-\u024f].)[.,;:!?]*(?= |\\Z)")
 
@@ -78,7 +78,7 @@ def chunks_of(text: str) -> list[str]:
     lower-cased, as the vocabulary does, and punctuation is cut from a letter before it, where it begins a word of its own anyway.
     """
     text = text.replace("\n", " ")
-    if not _NOT_PLAIN.search(text):
+    if "<|" not in text and not _NOT_PLAIN.search(text):
         text = _AFTER_LETTER.sub(" \\g<0>", text.lower())
     return text.split(" ")
 
