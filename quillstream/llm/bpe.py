@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quillstream.llm import shared
 
-BLOCK_BYTES, OUT_BYTES, PACK_WORDS, BUCKETS_PER_PARTITION = 16 << 20, 8 << 20, 1 << 16, 16
+BLOCK_BYTES, OUT_BYTES, PACK_WORDS, BUCKETS_PER_PARTITION = 8 << 20, 4 << 20, 1 << 16, 16
 #: White space as the tokenizer's pattern has it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -265,19 +265,26 @@ def _assembler(batches):
             yield batch_of(out)
 
 
-def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_tokens, ids) of docs(doc_id, text); ids are little-endian unsigned 32-bit integers.
+ENCODED = "doc_id long, n_tokens long, ids binary"
 
-    docs must be a table or file scan, whose partitions are the same when they are read again. The number of buckets follows
-    the number of partitions, so a bucket's distinct words stay as many as the input grows.
-    """
+
+def _met(docs: DataFrame, path: str, block_bytes: int) -> DataFrame:
+    """Ids of blocks' words, the words' order and the blocks' documents, sorted to be assembled."""
     docs = shared.documents(docs)
     buckets = BUCKETS_PER_PARTITION * max(4, docs.rdd.getNumPartitions())
     asked = docs.mapInArrow(_requester(path, block_bytes, buckets), "bucket long, block long, words binary")
     answered = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoder(path), MEETING)
     sent = docs.mapInArrow(_sender(path, block_bytes, buckets), MEETING)
-    met = answered.unionAll(sent).repartition("block").sortWithinPartitions("block", "kind", "bucket")
-    return met.mapInArrow(_assembler, "doc_id long, n_tokens long, ids binary")
+    return answered.unionAll(sent).repartition("block").sortWithinPartitions("block", "kind", "bucket")
+
+
+def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, n_tokens, ids) of docs(doc_id, text); ids are little-endian unsigned 32-bit integers.
+
+    docs must be a table or file scan, whose partitions are the same when they are read again. The number of buckets follows
+    the number of partitions, so a bucket's distinct words stay as many as the input grows.
+    """
+    return _met(docs, path, block_bytes).mapInArrow(_assembler, ENCODED)
 
 
 def id_to_piece(path: str) -> list[bytes]:
@@ -305,12 +312,18 @@ def _decoder(path: str):
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encode()'s rows with the decoded text, special tokens included."""
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_decoder(path), "doc_id long, n_tokens long, ids binary, decoded string")
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_decoder(path), ENCODED + ", decoded string")
+
+
+def encode_and_decode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """decode(encode(docs)) with both steps in one Python worker, one after the other on batches of about OUT_BYTES."""
+    unpieced = _decoder(path)
+    return _met(docs, path, block_bytes).mapInArrow(lambda batches: unpieced(_assembler(batches)), ENCODED + ", decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of docs."""
-    both = decode(encode(docs, path), path)
+    both = encode_and_decode(docs, path)
     return both.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
