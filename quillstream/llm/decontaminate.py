@@ -2,10 +2,10 @@
 
 Documents and benchmark items are canonicalised token by token: numbers, names and units become typed placeholders and
 other words lower-case literals without surrounding punctuation. Windows of WINDOW canonical tokens (whole items where
-these are shorter) are hash-joined. A document is contaminated by an item if a window matches at some alignment and the slot
-values that the item and the document put into the matched placeholders are consistent: within one alignment each item value
-always stands for the same document value. Equal values make an ``exact`` leak, for which one window is enough; renamed ones a
-``reparameterised`` one, which needs RENAMED_SHARE of the item's windows.
+these are shorter) are hash-joined. A document is contaminated by an item if a window matches with equal slot values, an
+``exact`` leak, whatever stands beside that window. Without such a window it is contaminated if RENAMED_SHARE of the item's
+windows match at one alignment and their slot values are consistent, each item value always standing for the same document
+value: a ``reparameterised`` leak.
 
 A window with fewer than MIN_LITERALS literals says little, so it counts only if its slot values are equal too. A name is
 a capitalised token that does not begin a sentence; a unit is a unit word after a number.
@@ -186,7 +186,8 @@ def _doc_windows(packed: bytes, widths: list[int]):
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Pairs (doc_id, item_id, kind, n_windows, item_windows, share) of documents that contain an item or a part of it.
 
-    Of several alignments of a pair the one with most windows counts. share is n_windows / item_windows.
+    n_windows counts the exact windows of an exact pair and all matched ones of a reparameterised pair. Exact alignments go
+    before others; of several the one with most windows counts. share is n_windows / item_windows.
     """
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     made = shared.staged(items.mapInArrow(_item_windows(window), WINDOWS), "leak-items")
@@ -208,14 +209,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         (F.col("f.at") - F.col("i.at")).alias("offset"),
         F.col("i.at").alias("at"),
         F.arrays_zip(slots("i.slots").alias("item"), slots("f.slots").alias("doc")).alias("pairs"),
+        (F.col("f.slots") == F.col("i.slots")).alias("exact"),
+    )
+    aligned = hits.groupBy("doc_id", "item_id", "offset").agg(
+        F.size(F.collect_set("at")).cast("long").alias("n_matched"), F.size(F.collect_set(F.when(F.col("exact"), F.col("at")))).cast("long").alias("n_exact"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )
-    aligned = hits.groupBy("doc_id", "item_id", "offset").agg(F.countDistinct("at").cast("long").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     item_values = F.array_distinct(F.transform("pairs", lambda p: p["item"]))
-    consistent = aligned.where(F.size("pairs") == F.size(item_values))
-    kind = F.when(F.exists("pairs", lambda p: p["item"] != p["doc"]), "reparameterised").otherwise("exact")
-    sized = consistent.withColumn("kind", kind).join(of_item, consistent.item_id == of_item.id)
-    enough = (F.col("kind") == "exact") | (F.col("n_windows") >= RENAMED_SHARE * F.col("item_windows"))
-    best = sized.where(enough).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", (F.col("kind") == "exact").alias("exact"), "kind", "item_windows")).alias("s"))
+    exact = F.col("n_exact") > 0
+    sized = aligned.withColumn("n_windows", F.when(exact, F.col("n_exact")).otherwise(F.col("n_matched"))).join(of_item, aligned.item_id == of_item.id)
+    consistent = F.size("pairs") == F.size(item_values)
+    enough = exact | (consistent & (F.col("n_matched") >= RENAMED_SHARE * F.col("item_windows")))
+    kind = F.when(exact, "exact").otherwise("reparameterised")
+    best = sized.where(enough).groupBy("doc_id", "item_id").agg(F.max(F.struct(exact.alias("exact"), "n_windows", kind.alias("kind"), "item_windows")).alias("s"))
     return best.select(
         "doc_id", "item_id", F.col("s.kind").alias("kind"), F.col("s.n_windows").alias("n_windows"), F.col("s.item_windows").alias("item_windows"), (F.col("s.n_windows") / F.col("s.item_windows")).alias("share")
     )

@@ -308,6 +308,19 @@ def test_decontaminate_slots(spark):
     assert [r.doc_id for r in decontaminate.contaminated(docs, item).collect()] == [1]
 
 
+def test_decontaminate_exact_window_beside_a_changed_one(spark):
+    items = spark.createDataFrame(
+        [(1, "From 3 boxes we take 3 balls and put them into the 3 bags there."), (2, "the quick red foxes run over all those very lazy dogs near the old river bank where Anna lives with many other good people")],
+        "item_id long, text string",
+    )
+    docs = spark.createDataFrame(
+        [(1, "From 4 boxes we take 3 balls and put them into the 3 bags there."), (2, "lazy dogs near the old river bank where Peter lives"), (3, "From 4 boxes we take 5 balls and put 3 into the 6 bags there.")], "doc_id long, text string"
+    )
+    got = {(r.doc_id, r.item_id): (r.kind, r.n_windows) for r in decontaminate.contaminated(docs, items).collect()}
+    # The changed number stands in two of the eight windows: the other six are word for word the item's.
+    assert got == {(1, 1): ("exact", 6), (2, 2): ("exact", 1)}
+
+
 def test_quality(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     rows = quality.op7_quality(spark, "/root/testdata/sf0.01").collect()
