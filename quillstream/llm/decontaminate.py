@@ -5,7 +5,9 @@ other words lower-case literals without surrounding punctuation. Windows of WIND
 these are shorter) are hash-joined. A document is contaminated by an item if a window matches with equal slot values, an
 ``exact`` leak, whatever stands beside that window. Without such a window it is contaminated if RENAMED_SHARE of the item's
 windows match at one alignment and their slot values are consistent, each item value always standing for the same document
-value: a ``reparameterised`` leak.
+value: a ``reparameterised`` leak. Windows are made of tokens, and again of runs: a run of names or of numbers and their units
+is one placeholder, so a replacement may have another number of tokens. Each shape is aligned for itself. An alignment
+is one offset, or all offsets at most NEAR from one.
 
 A window with fewer than MIN_LITERALS literals says little, so it counts only if its slot values are equal too. A name is
 a capitalised token that does not begin a sentence; a unit is a unit word after a number.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from quillstream.llm import shared, textvec
 
 WINDOW, MIN_LITERALS, RENAMED_SHARE = 8, 4, 0.5
+NEAR = 2
 BITS = 24
 CACHED_WORDS = 250_000
 
@@ -40,6 +44,10 @@ _NUMBER = re.compile(r"[$€£]?[+-]?\d+(?:[.,:/-]\d+)*(%?)\Z")
 _STRIP = "\"'()[]{}<>.,;:!?…«»“”‘’„¿¡*_`"
 NUMBER, NAME, UNIT = 1, 2, 3
 _ENDS, _IS_NUMBER, _IS_UNIT = 1, 2, 4
+#: Shapes of windows: one place per token, or one per run of names or of numbers and their units.
+TOKENS, RUNS = 1, 2
+#: The ways a text is read: a shape, and whether a capitalised token that begins a sentence is a name.
+READINGS = ((TOKENS, False), (RUNS, False))
 
 
 class Lexicon(dict):
@@ -76,8 +84,16 @@ class Lexicon(dict):
         return at
 
 
-def canonical(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, lexicon rows, where texts begin) of the tokens of texts."""
+class Reading(NamedTuple):
+    shape: int
+    named: bool
+    codes: np.ndarray  # of the places
+    at: np.ndarray  # the token with which each place begins; one more for the end
+    of: np.ndarray  # the place with which each text begins; one more for the end
+
+
+def readings(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, list[Reading]]:
+    """(lexicon rows of the tokens of texts, their READINGS)."""
     rows, of = [], [0]
     for text in texts:
         # A line end also ends a sentence.
@@ -91,44 +107,63 @@ def canonical(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarra
     begins = np.ones(len(row), bool)
     begins[1:] = ((flags[:-1] & _ENDS) > 0) | is_break[:-1]
     begins[of[:-1][of[:-1] < len(row)]] = True
-    codes = np.where(begins, first, middle)
     after_number = np.zeros(len(row), bool)
     after_number[1:] = (flags[:-1] & _IS_NUMBER) > 0
-    codes = np.where(after_number & ((flags & _IS_UNIT) > 0), np.uint64(UNIT), codes)
+    is_unit = after_number & ((flags & _IS_UNIT) > 0)
     keep = ~is_break
-    at = np.concatenate([[0], np.cumsum(keep)])
-    return codes[keep], row[keep], at[of]
-
-
-def window_hashes(codes: np.ndarray, of: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    coded = {named: np.where(is_unit, np.uint64(UNIT), codes)[keep] for named, codes in ((False, np.where(begins, first, middle)), (True, middle))}
+    of = np.concatenate([[0], np.cumsum(keep)])[of]
+    row, begins = row[keep], begins[keep]
+    out = []
+    for shape, named in READINGS:
+        codes, at, where = coded[named], np.arange(len(row) + 1), of
+        if shape == RUNS:
+            kind = np.where(codes == UNIT, np.uint64(NUMBER), codes)
+            starts = np.ones(len(row), bool)
+            starts[1:] = (kind[1:] != kind[:-1]) | (kind[1:] > UNIT) | begins[1:]
+            at = np.append(np.flatnonzero(starts), len(row))
+            codes, where = kind[at[:-1]], np.searchsorted(at, of)
+        out.append(Reading(shape, named, codes, at, where))
+    return row, out
+
+
+def window_hashes(reading: Reading, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(starts of windows inside one text, their hashes)."""
+    codes, of = reading.codes, reading.of
     n = len(codes)
     if n < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     starts = np.flatnonzero(np.arange(n) + width <= np.repeat(of[1:], np.diff(of)))
-    mixed = textvec.mix(codes + np.uint64(width))
+    mixed = textvec.mix(codes + np.uint64(width + 16 * reading.shape))
     total = np.zeros(n - width + 1, np.uint64)
     for k in range(width):
         total = total * np.uint64(0x9E3779B97F4A7C15) + mixed[k : n - width + 1 + k]
     return starts, textvec.mix(total[starts])
 
 
-def _rows(ids, starts, hashes, width, codes, row, of, owner, lexicon):
+def _rows(ids, starts, hashes, width, reading, row, lexicon):
     """One Arrow batch of window rows."""
     core = lexicon.core
+    owner = np.searchsorted(reading.of, starts, "right") - 1
     literals, slots, canon = [], [], []
     for s in starts.tolist():
-        c, r = codes[s : s + width].tolist(), row[s : s + width].tolist()
+        c, t = reading.codes[s : s + width].tolist(), reading.at[s : s + width + 1].tolist()
+        r = row[t[0] : t[-1]].tolist()
+        runs = [r[a - t[0] : b - t[0]] for a, b in zip(t, t[1:])]
         literals.append(sum(x > UNIT for x in c))
-        slots.append("\x1f".join(f"{x}{core[y]}" for x, y in zip(c, r) if x <= UNIT))
-        canon.append(" ".join(f"<{x}>" if x <= UNIT else core[y].lower() for x, y in zip(c, r)))
+        slots.append("\x1f".join(" ".join(f"{x}{core[y]}" for y in run) for x, run in zip(c, runs) if x <= UNIT))
+        canon.append(" ".join(f"<{x}>" if x <= UNIT else core[run[0]].lower() for x, run in zip(c, runs)))
+    n = len(canon)
     return pa.RecordBatch.from_arrays(
-        [pa.array([ids[o] for o in owner], pa.int64()), pa.array(starts - of[owner], pa.int64()), pa.array(hashes.view(np.int64)), pa.array(literals, pa.int32()), pa.array(slots, pa.string()), pa.array(canon, pa.string())],
-        names=["id", "at", "hash", "literals", "slots", "canon"],
-    )
+        [
+            pa.array([ids[o] for o in owner], pa.int64()), pa.array([reading.shape] * n, pa.int32()), pa.array([reading.named] * n, pa.bool_()), pa.array(starts - reading.of[owner], pa.int64()),
+            pa.array(hashes.view(np.int64)), pa.array(literals, pa.int32()), pa.array(slots, pa.string()), pa.array(canon, pa.string()),
+        ],
+        names=["id", "shape", "named", "at", "hash", "literals", "slots", "canon"],
+    )
 
 
-WINDOWS = "id long, at long, hash long, literals int, slots string, canon string"
+WINDOWS = "id long, shape int, named boolean, at long, hash long, literals int, slots string, canon string"
 
 
 def _item_windows(window: int):
@@ -136,12 +171,13 @@ def _item_windows(window: int):
         for batch in batches:
             lexicon = Lexicon()
             ids = batch.column(0).to_pylist()
-            codes, row, of = canonical([t or "" for t in batch.column(1).to_pylist()], lexicon)
-            for width in range(MIN_LITERALS, window + 1):
-                starts, hashes = window_hashes(codes, of, width)
-                owner = np.searchsorted(of, starts, "right") - 1
-                mine = np.minimum(np.diff(of)[owner], window) == width
-                yield _rows(ids, starts[mine], hashes[mine], width, codes, row, of, owner[mine], lexicon)
+            row, read = readings([t or "" for t in batch.column(1).to_pylist()], lexicon)
+            for reading in read:
+                for width in range(MIN_LITERALS, window + 1):
+                    starts, hashes = window_hashes(reading, width)
+                    owner = np.searchsorted(reading.of, starts, "right") - 1
+                    mine = np.minimum(np.diff(reading.of)[owner], window) == width
+                    yield _rows(ids, starts[mine], hashes[mine], width, reading, row, lexicon)
 
     return run
 
@@ -164,7 +200,9 @@ def _kept_lexicon() -> Lexicon:
     return _lexicons[0]
 
 
-def _doc_windows(packed: bytes, widths: list[int]):
+def _doc_windows(packed: bytes, widths: dict[int, list[int]]):
+    """widths: the widths of the items' windows by shape."""
+
     def run(batches):
         bits = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
         for batch in batches:
@@ -172,17 +210,24 @@ def _doc_windows(packed: bytes, widths: list[int]):
                 lexicon = _kept_lexicon()
                 part = batch.slice(a, b - a)
                 ids = part.column(0).to_pylist()
-                codes, row, of = canonical([t or "" for t in part.column(1).to_pylist()], lexicon)
-                for width in widths:
-                    starts, hashes = window_hashes(codes, of, width)
-                    hit = bits[hashes >> np.uint64(64 - BITS)]
-                    starts, hashes = starts[hit], hashes[hit]
-                    if len(starts):
-                        yield _rows(ids, starts, hashes, width, codes, row, of, np.searchsorted(of, starts, "right") - 1, lexicon)
+                row, read = readings([t or "" for t in part.column(1).to_pylist()], lexicon)
+                for reading in read:
+                    for width in widths.get(reading.shape, []):
+                        starts, hashes = window_hashes(reading, width)
+                        hit = bits[hashes >> np.uint64(64 - BITS)]
+                        starts, hashes = starts[hit], hashes[hit]
+                        if len(starts):
+                            yield _rows(ids, starts, hashes, width, reading, row, lexicon)
 
     return run
 
 
+def _by_token(run):
+    """A pair of runs as pairs of their tokens, if they have equally many."""
+    item, doc = F.split(run["item"], " "), F.split(run["doc"], " ")
+    return F.when(F.size(item) == F.size(doc), F.arrays_zip(item.alias("item"), doc.alias("doc"))).otherwise(F.array(F.struct(run["item"].alias("item"), run["doc"].alias("doc"))))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Pairs (doc_id, item_id, kind, n_windows, item_windows, share) of documents that contain an item or a part of it.
 
@@ -191,8 +236,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     """
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     made = shared.staged(items.mapInArrow(_item_windows(window), WINDOWS), "leak-items")
-    of_item = made.groupBy("id").agg(F.countDistinct("at").alias("item_windows"))
-    widths = sorted(r[0] for r in made.select(F.size(F.split("canon", " "))).distinct().collect())  # MIN_LITERALS to WINDOW
+    of_item = made.groupBy("id", "shape", "named").agg(F.countDistinct("at").alias("item_windows"))
+    widths: dict[int, list[int]] = {}  # MIN_LITERALS to WINDOW
+    for shape, width in made.select("shape", F.size(F.split("canon", " "))).distinct().collect():
+        widths.setdefault(shape, []).append(width)
     parts = made.select("hash").distinct().coalesce(4).mapInArrow(_bitmap, "bits binary").collect()  # 4 bitmaps of 2 MB at most
     packed = np.zeros((1 << BITS) // 8, np.uint8)
     for r in parts:
@@ -200,23 +247,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     docs = shared.documents(docs).where("doc_id IS NOT NULL")
     found = docs.mapInArrow(_doc_windows(packed.tobytes(), widths), WINDOWS)
     f, i = found.alias("f"), made.alias("i")
-    same = (F.col("f.hash") == F.col("i.hash")) & (F.col("f.canon") == F.col("i.canon"))
+    same = (F.col("f.hash") == F.col("i.hash")) & (F.col("f.shape") == F.col("i.shape")) & (F.col("f.canon") == F.col("i.canon"))
     told = (F.col("f.literals") >= MIN_LITERALS) | (F.col("f.slots") == F.col("i.slots"))
     slots = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, "\x1f"))
+    zipped = F.arrays_zip(slots("i.slots").alias("item"), slots("f.slots").alias("doc"))
     hits = f.join(i, same & told).select(
         F.col("f.id").alias("doc_id"),
         F.col("i.id").alias("item_id"),
+        F.col("i.shape").alias("shape"),
+        F.col("i.named").alias("named"),
+        F.col("f.named").alias("doc_named"),
         (F.col("f.at") - F.col("i.at")).alias("offset"),
         F.col("i.at").alias("at"),
-        F.arrays_zip(slots("i.slots").alias("item"), slots("f.slots").alias("doc")).alias("pairs"),
+        F.flatten(F.transform(zipped, _by_token)).alias("pairs"),
         (F.col("f.slots") == F.col("i.slots")).alias("exact"),
     )
-    aligned = hits.groupBy("doc_id", "item_id", "offset").agg(
+    # Every window counts at its own offset, and at each offset near it for passages with words put in or left out.
+    bands = [F.struct(F.lit(0).alias("near"), F.col("offset").alias("middle")), *(F.struct(F.lit(NEAR).alias("near"), (F.col("offset") + k).alias("middle")) for k in range(-NEAR, NEAR + 1))]
+    spread = hits.withColumn("band", F.explode(F.array(*bands)))
+    aligned = spread.groupBy("doc_id", "item_id", "shape", "named", "doc_named", "band").agg(
         F.size(F.collect_set("at")).cast("long").alias("n_matched"), F.size(F.collect_set(F.when(F.col("exact"), F.col("at")))).cast("long").alias("n_exact"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )
     item_values = F.array_distinct(F.transform("pairs", lambda p: p["item"]))
     exact = F.col("n_exact") > 0
-    sized = aligned.withColumn("n_windows", F.when(exact, F.col("n_exact")).otherwise(F.col("n_matched"))).join(of_item, aligned.item_id == of_item.id)
+    sized = aligned.withColumn("n_windows", F.when(exact, F.col("n_exact")).otherwise(F.col("n_matched"))).join(of_item.withColumnRenamed("id", "item_id"), ["item_id", "shape", "named"])
     consistent = F.size("pairs") == F.size(item_values)
     enough = exact | (consistent & (F.col("n_matched") >= RENAMED_SHARE * F.col("item_windows")))
     kind = F.when(exact, "exact").otherwise("reparameterised")

@@ -321,6 +321,26 @@ def test_decontaminate_exact_window_beside_a_changed_one(spark):
     assert got == {(1, 1): ("exact", 6), (2, 2): ("exact", 1)}
 
 
+def test_decontaminate_replacements_of_other_lengths(spark):
+    items = spark.createDataFrame([(1, "John Smith has 12 apples and gives 5 apples to Mary Jones every single day of the week.")], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [
+            (1, "Peter has 7 apples and gives 3 apples to Anna every single day of the week."),
+            (2, "So Anna Maria White has 7 apples and gives 3 apples to Peter Paul Black every single day of the week."),
+            (3, "Peter has 7 ft 3 in apples and then gives 3 apples to Anna every single day of the week."),
+            (4, "Peter has 7 apples."),
+        ],
+        "doc_id long, text string",
+    )
+    got = {r.doc_id: r.kind for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {1: "reparameterised", 2: "reparameterised"}
+    # An inserted word shifts the offset: neither side of it is half of the item.
+    text = "John has {} apples and gives {} apples to Mary on {} mornings of the week while {}all {} of us wait for {} more boxes with {} ripe red pears"
+    items = spark.createDataFrame([(1, text.format(12, 5, 2, "", 10, 8, 15))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text.format(7, 3, 4, "then ", 9, 6, 11)), (2, text.format(7, 3, 4, "then with some of the others ", 9, 6, 11))], "doc_id long, text string")
+    assert [(r.doc_id, r.kind, r.n_windows, r.item_windows) for r in decontaminate.contaminated(docs, items).collect()] == [(1, "reparameterised", 17, 24)]
+
+
 def test_quality(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     rows = quality.op7_quality(spark, "/root/testdata/sf0.01").collect()
