@@ -1,16 +1,16 @@
 """Benchmark decontamination by template canonicalisation.
 
-Documents and benchmark items are canonicalised token by token: numbers, names and units become typed placeholders and
-other words lower-case literals without surrounding punctuation. Windows of WINDOW canonical tokens (whole items where
-these are shorter) are hash-joined. A document is contaminated by an item if a window matches with equal slot values, an
-``exact`` leak, whatever stands beside that window. Without such a window it is contaminated if RENAMED_SHARE of the item's
-windows match at one alignment and their slot values are consistent, each item value always standing for the same document
-value: a ``reparameterised`` leak. Windows are made of tokens, and again of runs: a run of names or of numbers and their units
-is one placeholder, so a replacement may have another number of tokens. Each shape is aligned for itself. An alignment
-is one offset, or all offsets at most NEAR from one.
+Windows of WINDOW tokens (whole items where these are shorter) of documents and benchmark items are hash-joined, in three
+shapes. In the first, a token is its lower-case word without surrounding punctuation: a document that shares one such window
+with an item is contaminated, an ``exact`` leak, whatever stands beside that window. In the other two, numbers, names and
+units are typed placeholders: one for each token, or one for each run of names or of numbers and their units, so that a
+replacement may have another number of tokens. A document is a ``reparameterised`` leak of an item if RENAMED_SHARE of the item's
+windows match at one alignment and the slot values are consistent, each item value always standing for the same document
+value. An alignment is one offset, or all offsets at most NEAR from one, of one reading of the document and one of the item.
 
 A window with fewer than MIN_LITERALS literals says little, so it counts only if its slot values are equal too. A name is
-a capitalised token that does not begin a sentence; a unit is a unit word after a number.
+a capitalised token; one that begins a sentence may also be another word, so texts are read both ways, with all of these as
+names and with all as words. A unit is a unit word after a number.
 
 Before the join a bitmap of fixed size over the item windows' hashes drops document windows that match none; it lets
 some others through, which the join removes, and never drops a match. Defined results: null and empty texts and ids have no windows; items with
@@ -44,24 +44,24 @@ _NUMBER = re.compile(r"[$€£]?[+-]?\d+(?:[.,:/-]\d+)*(%?)\Z")
 _STRIP = "\"'()[]{}<>.,;:!?…«»“”‘’„¿¡*_`"
 NUMBER, NAME, UNIT = 1, 2, 3
 _ENDS, _IS_NUMBER, _IS_UNIT = 1, 2, 4
-#: Shapes of windows: one place per token, or one per run of names or of numbers and their units.
-TOKENS, RUNS = 1, 2
+#: Shapes of windows: the words themselves, one place per token, or one per run of names or of numbers and their units.
+WORDS, TOKENS, RUNS = 0, 1, 2
 #: The ways a text is read: a shape, and whether a capitalised token that begins a sentence is a name.
-READINGS = ((TOKENS, False), (RUNS, False))
+READINGS = ((WORDS, False), (TOKENS, False), (TOKENS, True), (RUNS, False), (RUNS, True))
 
 
 class Lexicon(dict):
     """raw token -> row of the code table; grows as tokens are met."""
 
     def __init__(self):
-        self.middle, self.first, self.flags, self.core = [], [], [], []
-        self.table = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+        self.literal, self.middle, self.first, self.flags, self.core = [], [], [], [], []
+        self.table = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8))
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(middle, first, flags) as arrays, extended by what is new since the last call."""
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(literal, middle, first, flags) as arrays, extended by what is new since the last call."""
         have = len(self.table[0])
         if have < len(self.core):
-            new = zip(self.table, (self.middle, self.first, self.flags))
+            new = zip(self.table, (self.literal, self.middle, self.first, self.flags))
             self.table = tuple(np.concatenate([old, np.array(more[have:], old.dtype)]) for old, more in new)
         return self.table
 
@@ -76,6 +76,7 @@ class Lexicon(dict):
             first = literal
             middle = NAME if core[0].isupper() and len(core) > 1 else literal
             flags |= _IS_UNIT if core.lower() in UNITS else 0
+        self.literal.append(literal)
         self.middle.append(middle)
         self.first.append(first)
         self.flags.append(flags)
@@ -103,7 +104,7 @@ def readings(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, list[Readi
     row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     of = np.array(of)
     is_break = row == lexicon["\n"]
-    middle, first, flags = (table[row] for table in lexicon.arrays())
+    literal, middle, first, flags = (table[row] for table in lexicon.arrays())
     begins = np.ones(len(row), bool)
     begins[1:] = ((flags[:-1] & _ENDS) > 0) | is_break[:-1]
     begins[of[:-1][of[:-1] < len(row)]] = True
@@ -116,7 +117,7 @@ def readings(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, list[Readi
     row, begins = row[keep], begins[keep]
     out = []
     for shape, named in READINGS:
-        codes, at, where = coded[named], np.arange(len(row) + 1), of
+        codes, at, where = literal[keep] if shape == WORDS else coded[named], np.arange(len(row) + 1), of
         if shape == RUNS:
             kind = np.where(codes == UNIT, np.uint64(NUMBER), codes)
             starts = np.ones(len(row), bool)
@@ -182,11 +183,17 @@ def _item_windows(window: int):
     return run
 
 
+def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash: its upper and its lower BITS bits."""
+    return hashes >> np.uint64(64 - BITS), hashes & np.uint64((1 << BITS) - 1)
+
+
 def _bitmap(batches):
     """One partial bitmap over the hashes of a partition."""
     bits = np.zeros(1 << BITS, bool)
     for batch in batches:
-        bits[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)] = True
+        for at in _places(batch.column(0).to_numpy().view(np.uint64)):
+            bits[at] = True
     yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
 
@@ -214,8 +221,9 @@ def _doc_windows(packed: bytes, widths: dict[int, list[int]]):
                 for reading in read:
                     for width in widths.get(reading.shape, []):
                         starts, hashes = window_hashes(reading, width)
-                        hit = bits[hashes >> np.uint64(64 - BITS)]
-                        starts, hashes = starts[hit], hashes[hit]
+                        for k in (0, 1):
+                            hit = bits[_places(hashes)[k]]
+                            starts, hashes = starts[hit], hashes[hit]
                         if len(starts):
                             yield _rows(ids, starts, hashes, width, reading, row, lexicon)
 

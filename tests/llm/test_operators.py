@@ -341,6 +341,21 @@ def test_decontaminate_replacements_of_other_lengths(spark):
     assert [(r.doc_id, r.kind, r.n_windows, r.item_windows) for r in decontaminate.contaminated(docs, items).collect()] == [(1, "reparameterised", 17, 24)]
 
 
+def test_decontaminate_capitals(spark):
+    items = spark.createDataFrame(
+        [(1, "Five small words stand here"), (2, "John has 12 apples and 5 pears"), (3, "yesterday John bought some 12 apples and pears there")], "item_id long, text string"
+    )
+    docs = spark.createDataFrame(
+        [
+            (1, "then Five small words stand here now"), (2, "He said FIVE small\nWords stand HERE now"), (3, "then Peter has 9 apples and 4 pears"), (4, "Oh. Peter has 9 apples and 4 pears"),
+            (5, "so it was yesterday. Peter bought some 9 apples and pears there"), (6, "then nobody has 9 apples and 4 pears"),
+        ],
+        "doc_id long, text string",
+    )
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 1): "exact", (2, 1): "exact", (3, 2): "reparameterised", (4, 2): "reparameterised", (5, 3): "reparameterised"}
+
+
 def test_quality(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     rows = quality.op7_quality(spark, "/root/testdata/sf0.01").collect()
