@@ -12,7 +12,7 @@ No bucket is capped and none emits all its pairs:
    documents, all full sets of a block with all of another by matrix products; a pair of blocks yields no more links
    than it takes to connect its components.
 Components of the verified links are the result. A linked pair is missed only if it shares no key (under 3 in
-10,000 at a similarity of 0.85) and no other links connect it.
+10,000 at a similarity of 0.85, about 16 in 10,000 at the pipeline's 0.8) and no other links connect it.
 
 Defined results: null or empty texts and texts without words have an empty set and link with nothing; a text of fewer
 words than a shingle has its whole word sequence as its one shingle; each input row yields a result row;
