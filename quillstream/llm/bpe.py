@@ -11,8 +11,8 @@ encoded once; its ids come back by block and position:
 
 Every step streams over sorted rows, so memory holds one block's words or one bucket's, and a word that every block asks
 for costs each block once, however often it occurs. Step 1's two outputs are computed from one scan
-each; blocks are named by a digest of their words, and ids that do not fit a block's words raise an error. Decoding joins ids to the
-id-to-piece table, which is as large as the vocabulary.
+each; blocks are named by a digest of their words, and ids that do not fit a block's words raise an error. Decoding looks ids up
+in a list of pieces within the worker, as large as the vocabulary; there is no join.
 
 Defined results: a null text is empty and has no ids; text inside which an added token is spelled out gets that
 token's id, as the tokenizers library does; repeated rows stay repeated; a null doc_id is kept. An empty table
