@@ -1,4 +1,4 @@
-"""Line cleaning as a stream, for files too large for one row, and resumable chunk translation by micro-batch."""
+"""Line cleaning as a stream, for files too large for one row."""
 
 from __future__ import annotations
 
