@@ -14,17 +14,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Alternating star contraction: large stars link each node's greater neighbours to its least
     neighbour, small stars its smaller ones, until nothing moves (in a few rounds, logarithmic in
     the number of nodes). Both steps are a min-aggregation and an equi-join on the node; every
-    round is written to the shared folder.
+    round is written to the shared folder, and the one before it deleted.
     """
     forest = shared.staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    mark = None
+    spark, mark = edges.sparkSession, None
     while True:
         both = forest.unionAll(forest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(down.select("a", F.col("m").alias("b"))).distinct()
-        forest = shared.staged(small, name)
+        before, forest = forest, shared.staged(small, name)
+        shared.remove(spark, before)
         now = tuple(forest.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark or now[0] == 0:
             break

@@ -3,16 +3,17 @@
 Two small collections of band hashes are computed per document, each band over BAND_ROWS minhashes;
 the table keys are all pairs (i-th hash of the first collection, j-th of the second). TABLES**2 keys of
 2 * BAND_ROWS rows cost 2 * TABLES * BAND_ROWS minhashes: about a square root of what independent tables
-would need. Candidates that share a key are verified on full shingle sets.
+would need. Hashes only propose candidates; every link is confirmed on the full sets of word shingles, word for word.
 
 No bucket is capped and none emits all its pairs:
-1. documents with equal sets are one class, represented by its smallest id;
+1. documents of equal word sequences (by SHA-256) are one class, represented by its smallest id;
 2. the members of a bucket are compared with two centres, its smallest id and its best-connected one;
-3. members of a bucket that still lie in different components are compared in blocks of about BLOCK_MEMBERS
-   documents, all full sets of a block with all of another by matrix products; a pair of blocks yields no more links
-   than it takes to connect its components.
-Components of the verified links are the result. A linked pair is missed only if it shares no key (under 3 in
-10,000 at a similarity of 0.85, about 16 in 10,000 at the pipeline's 0.8) and no other links connect it.
+3. members of a bucket that still lie in different components are compared in blocks of about BLOCK_MEMBERS documents, all
+   full sets of a block with all of another by matrix products; the pairs of blocks are dealt out by both numbers, and a
+   pair yields no more links than it takes to connect its components.
+Components of the verified links are the result. A linked pair is missed only if it shares no key and no other links connect
+it: 1 - (1 - (1 - s**BAND_ROWS)**TABLES)**2 of pairs at similarity s, which is under 3 in 10,000 at 0.85. The number of tables follows from the
+threshold, so that this holds at other thresholds too.
 
 Defined results: null or empty texts and texts without words have an empty set and link with nothing; a text of fewer
 words than a shingle has its whole word sequence as its one shingle; each input row yields a result row;
@@ -23,79 +24,94 @@ all comparisons; rows with a null doc_id are returned with null component_id and
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.llm import shared, textvec
 from quillstream.llm.components import components
 
-TABLES, BAND_ROWS = 7, 2
+BAND_ROWS, MISSED = 2, 3e-4
+MOST_TABLES = 32
 MEMBERS = 128
 BLOCK_MEMBERS, BLOCK_BYTES, COLUMNS = 256, 8 << 20, 4096
 
 _rng = np.random.default_rng(20240117)
-_FLIP = _rng.integers(0, 2**64, 2 * TABLES * BAND_ROWS, np.uint64)
-_STEP = _rng.integers(0, 2**64, 2 * TABLES * BAND_ROWS, np.uint64) | np.uint64(1)
+_FLIP = _rng.integers(0, 2**64, 2 * MOST_TABLES * BAND_ROWS, np.uint64)
+_STEP = _rng.integers(0, 2**64, 2 * MOST_TABLES * BAND_ROWS, np.uint64) | np.uint64(1)
 _PLACE = _rng.integers(0, 2**64, 64, np.uint64) | np.uint64(1)
 
 
-def shingles(words: textvec.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle fingerprints of a group of documents, sorted and distinct within each; where documents begin."""
-    h, counts = words.hashes(), np.diff(words.of)
-    n = len(h)
-    s = np.zeros(n, np.uint64)
-    for k in range(min(width, n)):
+def missed_share(tables: int, percent: int) -> float:
+    """The share of pairs at the threshold that have no key in common."""
+    return 1 - (1 - (1 - (percent / 100) ** BAND_ROWS) ** tables) ** 2
+
+
+def tables_for(percent: int) -> int:
+    """The fewest tables a side that miss at most MISSED of the pairs at the threshold; MOST_TABLES below about 0.4."""
+    return next((t for t in range(1, MOST_TABLES) if missed_share(t, percent) <= MISSED), MOST_TABLES)
+
+
+def shingles(words: textvec.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers, fingerprints) of the distinct shingles of each document in a group, and where documents begin.
+
+    Within the group equal numbers mean equal shingles, word for word; fingerprints are the same in every group.
+    """
+    word, h, counts = words.numbers(), words.hashes(), np.diff(words.of)
+    n, distinct = len(word), int(words.numbers().max(initial=0)) + 1
+    number, s = word.copy(), h * _PLACE[0]
+    for k in range(1, min(width, n)):
+        number[: n - k] = pd.factorize(number[: n - k] * distinct + word[k:])[0]
         s[: n - k] += h[k:] * _PLACE[k]
-    ends = np.repeat(words.of[1:], counts)
-    whole = np.arange(n) + width <= ends
-    short = np.flatnonzero((counts > 0) & (counts < width))
-    for d in short:  # its words are fewer than a shingle's: sum them alone, marked by their number
+    whole = np.arange(n) + width <= np.repeat(words.of[1:], counts)
+    sequences: dict[tuple, int] = {}
+    for d in np.flatnonzero((counts > 0) & (counts < width)):  # its words are fewer than a shingle's: one shingle of them all, marked by their number
         a, b = words.of[d], words.of[d + 1]
+        number[a] = n + sequences.setdefault(tuple(word[a:b].tolist()), len(sequences))
         s[a] = (h[a:b] * _PLACE[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
         whole[a] = True
-    s, doc = textvec.mix(s[whole]), words.doc[whole]
-    out, of = [], np.zeros(len(counts) + 1, np.int64)
-    at = np.searchsorted(doc, np.arange(len(counts) + 1))
-    for d in range(len(counts)):
-        one = np.unique(s[at[d] : at[d + 1]])
-        out.append(one)
-        of[d + 1] = of[d] + len(one)
-    return (np.concatenate(out) if out else s[:0]), of
+    span = n + len(sequences) + 1
+    key, first = np.unique(words.doc[whole] * span + number[whole], return_index=True)
+    return key % span, textvec.mix(s[whole])[first], np.searchsorted(key, np.arange(len(counts) + 1) * span)
 
 
-def minhashes(s: np.ndarray, of: np.ndarray) -> np.ndarray:
+def minhashes(s: np.ndarray, of: np.ndarray, tables: int) -> np.ndarray:
     """(documents x hashes) smallest values of the documents' shingles."""
-    return np.stack([textvec.by_doc(np.minimum, (s ^ flip) * step, of, 0) for flip, step in zip(_FLIP, _STEP)], axis=1)
+    n = 2 * tables * BAND_ROWS
+    return np.stack([textvec.by_doc(np.minimum, (s ^ flip) * step, of, 0) for flip, step in zip(_FLIP[:n], _STEP[:n])], axis=1)
 
 
-SIGNATURE_SCHEMA = "doc_id long, text_hash long, n long, d1 long, d2 long, left array<long>, right array<long>"
+SIGNATURE_SCHEMA = "doc_id long, text_sha binary, n long, words_sha binary, sum long, left array<long>, right array<long>"
 
 
-def _signer(width: int):
+def _signer(width: int, tables: int):
     def sign(batches):
         for batch in batches:
             ids, hashes = batch.column(0), batch.column(1)
             for a, b, words in textvec.text_groups(batch.column(2), lower=True):
-                s, of = shingles(words, width)
-                m = minhashes(s, of)
-                bands = np.zeros((b - a, 2 * TABLES), np.uint64)
+                _, s, of = shingles(words, width)
+                m = minhashes(s, of, tables)
+                bands = np.zeros((b - a, 2 * tables), np.uint64)
                 for k in range(BAND_ROWS):
                     bands = textvec.mix(bands * np.uint64(3) + m[:, k::BAND_ROWS])
-                d1 = textvec.by_doc(np.add, textvec.mix(s), of, 0)
-                d2 = textvec.by_doc(np.add, textvec.mix(s ^ np.uint64(0x5DEECE66D)), of, 0)
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * TABLES, pa.int32()), pa.array(np.ascontiguousarray(x).ravel().view(np.int64)))
+                total = textvec.by_doc(np.add, textvec.mix(s), of, 0)
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * tables, pa.int32()), pa.array(np.ascontiguousarray(x).ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), hashes.slice(a, b - a), pa.array(np.diff(of)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists(bands[:, :TABLES]), lists(bands[:, TABLES:])],
-                    names=["doc_id", "text_hash", "n", "d1", "d2", "left", "right"],
+                    [ids.slice(a, b - a), hashes.slice(a, b - a), pa.array(np.diff(of)), pa.array(words.digests(), pa.binary()), pa.array(total.view(np.int64)), lists(bands[:, :tables]), lists(bands[:, tables:])],
+                    names=["doc_id", "text_sha", "n", "words_sha", "sum", "left", "right"],
                 )
 
     return sign
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """Per row of docs(doc_id, text): set size n, a 128-bit set digest and band hashes."""
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_signer(width), SIGNATURE_SCHEMA)
+def _sha(text: str) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def signatures(docs: DataFrame, width: int, tables: int) -> DataFrame:
+    """Per row of docs(doc_id, text): digests of the text and of its words, set size n, the sum of the set's fingerprints and band hashes."""
+    return docs.select("doc_id", _sha("text").alias("text_sha"), "text").mapInArrow(_signer(width, tables), SIGNATURE_SCHEMA)
 
 
 def _linked(sizes_a, sizes_b, common, percent: int):
@@ -103,29 +119,49 @@ def _linked(sizes_a, sizes_b, common, percent: int):
 
 
 def _verifier(width: int, percent: int):
-    """mapInArrow function over rows (block, centre, id, text), sorted by block with the centre first."""
+    """mapInArrow function over rows (block, is_centre, id, text), sorted by block with the centre first.
+
+    Rows are taken together up to about two megabytes of text, whatever blocks they belong to, and compared shingle by shingle.
+    """
+
+    def links(ids, centres, texts):
+        number, _, of = shingles(textvec.words_of(pa.array(texts, pa.large_string()), lower=True), width)
+        size, doc, centre = np.diff(of), np.repeat(np.arange(len(texts)), np.diff(of)), np.array(centres)
+        span = int(number.max(initial=0)) + 1
+        keys, member = doc * span + number, centre[doc] >= 0
+        wanted = centre[doc[member]] * span + number[member]
+        at = np.searchsorted(keys, wanted)
+        hit = keys[np.minimum(at, max(0, len(keys) - 1))] == wanted
+        common = np.bincount(doc[member][hit], minlength=len(texts))
+        good = np.flatnonzero((centre >= 0) & (size > 0) & _linked(size, size[centre], common, percent))
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in good], pa.int64()), pa.array([ids[centres[i]] for i in good], pa.int64())], names=["a", "b"])
 
     def verify(batches):
-        block, sets = None, None
+        ids, centres, texts, held = [], [], [], 0
+        centre, at = (None, None, None), -1
         for batch in batches:
             names = batch.schema.names
-            blocks, centre = batch.column(names.index("block")).to_pylist(), batch.column(names.index("is_centre")).to_pylist()
-            ids, out = batch.column(names.index("id")).to_pylist(), []
-            for a, b, words in textvec.text_groups(batch.column(names.index("text")), lower=True):
-                s, of = shingles(words, width)
-                for i in range(a, b):
-                    own = s[of[i - a] : of[i - a + 1]]
-                    if centre[i]:
-                        block, sets = blocks[i], (ids[i], own)
-                        continue
-                    if block != blocks[i]:
-                        raise ValueError("a block of candidates came without its centre")
-                    where = np.searchsorted(sets[1], own)
-                    common = int((sets[1][np.minimum(where, len(sets[1]) - 1)] == own).sum()) if len(sets[1]) and len(own) else 0
-                    if _linked(len(own), len(sets[1]), common, percent):
-                        out.append((ids[i], sets[0]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+            for block, is_centre, i, text in zip(*(batch.column(names.index(c)).to_pylist() for c in ("block", "is_centre", "id", "text"))):
+                if is_centre:
+                    centre, at = (block, i, text), -1
+                    continue
+                if centre[0] != block:
+                    raise ValueError("a block of candidates came without its centre")
+                if at < 0:
+                    at = len(ids)
+                    ids.append(centre[1])
+                    centres.append(-1)
+                    texts.append(centre[2])
+                    held += len(centre[2])
+                ids.append(i)
+                centres.append(at)
+                texts.append(text)
+                held += len(text)
+                if held > textvec.GROUP_BYTES:
+                    yield links(ids, centres, texts)
+                    ids, centres, texts, held, at = [], [], [], 0, -1
+        if ids:
+            yield links(ids, centres, texts)
 
     return verify
 
@@ -135,7 +171,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
     Members of a centre are dealt over blocks of about MEMBERS, each with its own copy of the centre's text.
     """
-    per = pairs.groupBy("centre").agg(F.count("*").alias("members"))
+    per = shared.staged(pairs.groupBy("centre").agg(F.count("*").alias("members")), "near-members")
     dealt = pairs.join(per, "centre").select(
         "id", "centre", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / MEMBERS)).alias("salt")
     )
@@ -148,18 +184,20 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return sorted_rows.select("block", "is_centre", "id", "text").mapInArrow(_verifier(width, percent), "a long, b long")
 
 
+PACKED = "u long, block long, ids binary, comps binary, lengths binary, texts binary"
+
+
 def _block_packer(batches):
     """mapInPandas function over rows (u, chunk, id, comp, text) sorted by u and chunk: packed blocks of a chunk, cut by bytes too."""
-    import pandas as pd
     import zstandard
 
     held, rows, size, piece = None, [], 0, 0
 
     def flush():
         ids, comps, texts = zip(*rows)
-        packed = zstandard.compress(pa.array(texts, pa.large_string()).buffers()[2] or b"", 3)
-        lengths = np.array([len(t.encode()) for t in texts], np.int64)
-        return pd.DataFrame({"u": [held[0]], "block": [held[1] << 20 | piece], "ids": [np.array(ids, np.int64).tobytes()], "comps": [np.array(comps, np.int64).tobytes()], "lengths": [lengths.tobytes()], "texts": [packed]})
+        raw = [t.encode() for t in texts]
+        number = lambda values: np.array(values, np.int64).tobytes()
+        return pd.DataFrame({"u": [held[0]], "block": [held[1] << 20 | piece], "ids": [number(ids)], "comps": [number(comps)], "lengths": [number([len(t) for t in raw])], "texts": [zstandard.compress(b"".join(raw), 3)]})
 
     for pdf in batches:
         for u, chunk, i, comp, text in zip(pdf["u"], pdf["chunk"], pdf["id"], pdf["comp"], pdf["text"]):
@@ -174,19 +212,14 @@ def _block_packer(batches):
         yield flush()
 
 
-def _block_sets(ids: bytes, comps: bytes, lengths: bytes, texts: bytes, width: int):
-    """(ids, comps, shingles, where each document's begin) of a packed block."""
-    import zstandard
-
-    lengths, raw = np.frombuffer(lengths, np.int64), zstandard.decompress(texts)
-    bounds = np.concatenate([[0], np.cumsum(lengths)])
-    of_text = pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(raw))
-    sets, of = [], [np.zeros(1, np.int64)]
-    for _, _, words in textvec.text_groups(of_text, lower=True):
-        s, at = shingles(words, width)
-        sets.append(s)
-        of.append(at[1:] + of[-1][-1])
-    return np.frombuffer(ids, np.int64), np.frombuffer(comps, np.int64), np.concatenate(sets), np.concatenate(of)
+def common_of_blocks(raw: list[bytes], lengths: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set sizes of the first block, those of the second, sizes of all intersections between them)."""
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64)
+    texts = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.tobytes()), pa.py_buffer(b"".join(raw)))
+    number, _, of = shingles(textvec.words_of(texts, lower=True), width)
+    n = len(lengths[0])
+    s, t = number[: of[n]], number[of[n] :]
+    return np.diff(of[: n + 1]), np.diff(of[n:]), common_counts(s, of[: n + 1], t, of[n:] - of[n])
 
 
 def common_counts(s: np.ndarray, of: np.ndarray, t: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -209,100 +242,133 @@ def common_counts(s: np.ndarray, of: np.ndarray, t: np.ndarray, to: np.ndarray)
 
 
 def _block_linker(width: int, percent: int):
-    """mapInPandas function over pairs of packed blocks: links between components, as few as connect them."""
-    import pandas as pd
+    """mapInPandas function over packed blocks (low, high, ...), the two of a pair one after the other: links between components, as few as connect them."""
+    import zstandard
+
+    def pair(x, y):
+        if len(set(np.frombuffer(x["comps"] + y["comps"], np.int64).tolist())) == 1:
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        blocks = [(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["comps"], np.int64), np.frombuffer(r["lengths"], np.int64), zstandard.decompress(r["texts"])) for r in (x, y)]
+        (ids_i, comps_i, _, _), (ids_j, comps_j, _, _) = blocks
+        m, n, common = common_of_blocks([b[3] for b in blocks], [b[2] for b in blocks], width)
+        parent: dict[int, int] = {}
+
+        def root(c):
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        out = []
+        for a, b in zip(*(z.tolist() for z in np.nonzero(_linked(m[:, None], n[None, :], common, percent) & (comps_i[:, None] != comps_j[None, :])))):
+            p, q = root(int(comps_i[a])), root(int(comps_j[b]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((ids_i[a], ids_j[b]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     def link(batches):
+        first = None
         for pdf in batches:
             for r in pdf.to_dict("records"):
-                ids_i, comps_i, s, of = _block_sets(r["ids_i"], r["comps_i"], r["lengths_i"], r["texts_i"], width)
-                ids_j, comps_j, t, to = _block_sets(r["ids_j"], r["comps_j"], r["lengths_j"], r["texts_j"], width)
-                common = common_counts(s, of, t, to)
-                x, y = np.nonzero(_linked(np.diff(of)[:, None], np.diff(to)[None, :], common, percent) & (comps_i[:, None] != comps_j[None, :]))
-                parent: dict[int, int] = {}
-
-                def root(c):
-                    while parent.get(c, c) != c:
-                        c = parent[c]
-                    return c
-
-                out = []
-                for a, b in zip(x.tolist(), y.tolist()):
-                    p, q = root(int(comps_i[a])), root(int(comps_j[b]))
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        out.append((ids_i[a], ids_j[b]))
-                if out:
-                    yield pd.DataFrame(out, columns=["a", "b"])
+                if r["low"] == r["high"]:
+                    yield pair(r, r)
+                elif first is None:
+                    first = r
+                else:
+                    if (first["u"], first["low"], first["high"]) != (r["u"], r["low"], r["high"]):
+                        raise ValueError("a pair of blocks came apart")
+                    yield pair(first, r)
+                    first = None
 
     return link
 
 
+def paired_blocks(packed: DataFrame) -> DataFrame:
+    """Packed blocks once for each block of their union, dealt by (u, low, high) so that the two of a pair follow each other."""
+    numbers = packed.groupBy("u").agg(F.array_sort(F.collect_list("block")).alias("all"))  # one number for about BLOCK_MEMBERS documents
+    each = packed.join(numbers, "u").withColumn("other", F.explode("all"))
+    ends = each.select("u", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *[c for c in packed.columns if c != "u"])
+    return ends.repartition("u", "low", "high").sortWithinPartitions("u", "low", "high", "block")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Links join documents whose sets of ``shingle_words``-word shingles have 100 * |A and B| >= percent * |A or B|.
     """
-    docs = shared.documents(docs)
-    sigs = shared.staged(signatures(docs, shingle_words), "near-signatures")
-    whole = F.struct("text_hash", "n", "d1", "d2", "left", "right")
-    known = sigs.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.min_by(whole, "text_hash").alias("r")).select("doc_id", "r.*")
-    classes = known.groupBy("n", "d1", "d2").agg(F.min_by(F.struct("doc_id", "text_hash", "left", "right"), "doc_id").alias("r"))
-    classes = shared.staged(classes.select("n", "d1", "d2", F.col("r.doc_id").alias("rep"), "r.text_hash", "r.left", "r.right"), "near-classes")
-
-    # Sets too small to differ and still reach the threshold link by equality alone.
+    spark, docs = docs.sparkSession, shared.documents(docs)
+    sigs = shared.staged(signatures(docs, shingle_words, tables_for(percent)), "near-signatures")
+    whole = F.struct("text_sha", "n", "words_sha", "sum", "left", "right")
+    known = sigs.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.min_by(whole, "text_sha").alias("r")).select("doc_id", "r.*")
+    classes = known.groupBy("words_sha").agg(F.min_by(F.struct("doc_id", "text_sha", "n", "sum", "left", "right"), "doc_id").alias("r"))
+    classes = shared.staged(classes.select("words_sha", F.col("r.doc_id").alias("id"), "r.text_sha", "r.n", "r.sum", "r.left", "r.right"), "near-classes")
+
+    # Sets too small to differ and still reach the threshold link by equality alone: they have one key, of the whole set.
     least_n = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))
-    side = lambda c: F.posexplode(c)
-    wide = classes.where(F.col("n") >= least_n).select("rep", "n", side("left").alias("i", "l"), "right")
-    keys = wide.select("rep", "n", "i", "l", side("right").alias("j", "r")).select(F.xxhash64("i", "j", "l", "r").alias("key"), F.col("rep").alias("id"), "n")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
+    crossed = F.flatten(F.transform("left", lambda x, i: F.transform("right", lambda y, j: F.xxhash64(i, j, x, y))))
+    keys = classes.select(F.explode(F.when(F.col("n") < least_n, F.array(F.xxhash64("n", "sum"))).otherwise(crossed)).alias("key"), "id", "n")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("first")).where("size > 1")
+    # What is joined to rows that one key may have many of is staged first, so that Spark can split the join.
+    sizes = shared.staged(sizes, "near-sizes")
     buckets = shared.staged(keys.join(sizes, "key"), "near-buckets")
 
     degree = buckets.groupBy("id").agg(F.sum("size").alias("degree"))
-    busiest = buckets.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub"))
-    centred = buckets.join(busiest, "key")
-    centres = centred.select("id", F.col("first").alias("centre")).unionAll(centred.select("id", F.col("hub").alias("centre"))).where("id <> centre").distinct()
-    size_of = classes.select(F.col("rep").alias("id"), "n")
-    pairs = shared.staged(_plausible(centres, size_of, percent), "near-pairs")
+    busiest = buckets.join(degree, "id").groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("degree", -F.col("id"))).alias("hub"))
+    busiest = shared.staged(busiest, "near-hubs")
+    centred = shared.staged(buckets.join(busiest, "key").select("key", "id", "n", "first", "hub"), "near-centred")
+    shared.remove(spark, buckets, sizes, busiest)
+    # Set sizes bound the similarity: what cannot reach the threshold needs no comparison.
+    pairs = centred.select("id", "n", F.explode(F.array("first", "hub")).alias("c")).where("id <> c.id").where(100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
+    pairs = shared.staged(pairs.select("id", F.col("c.id").alias("centre")).distinct(), "near-pairs")
     # Copies of a row need no second text: one partial aggregate each, on ids that share a key.
-    wanted = classes.select(F.col("rep").alias("id"), "text_hash").join(buckets.select("id").distinct(), "id", "left_semi")
-    named = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    texts = shared.staged(named.join(wanted, ["id", "text_hash"], "left_semi").groupBy("id").agg(F.first("text").alias("text")), "near-texts")
+    wanted = classes.select("id", "text_sha").join(centred.select("id").distinct(), "id", "left_semi")
+    named = docs.select(F.col("doc_id").alias("id"), _sha("text").alias("text_sha"), "text")
+    texts = shared.staged(named.join(wanted, ["id", "text_sha"], "left_semi").groupBy("id").agg(F.first("text").alias("text")), "near-texts")
     edges = shared.staged(verified(pairs, texts, shingle_words, percent), "near-edges")
     comp = shared.staged(components(edges, "near-stars"), "near-components")
 
-    # Members, other than the centres, whose bucket still spans components: compare signatures across them.
-    open_rows = centred.where("id <> first AND id <> hub").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    # Members, other than the centres, whose bucket still spans components: compare sets across them.
+    open_rows = centred.where("id <> first.id AND id <> hub.id").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     split = open_rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     spanning = shared.staged(open_rows.join(split, "key").select("id", "comp", "low").distinct(), "near-spanning")
     if not spanning.isEmpty():
         union = components(spanning.select(F.col("comp").alias("a"), F.col("low").alias("b")), "near-unions").select(F.col("id").alias("comp"), F.col("comp").alias("u"))
         members = spanning.select("id", "comp").distinct().join(union, "comp").join(texts, "id")
         count = members.groupBy("u").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).alias("chunks"))
-        chunked = members.join(count, "u").withColumn("chunk", F.pmod(F.xxhash64("comp"), F.col("chunks")))
+        chunked = members.join(count, "u").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
         packed = chunked.repartition("u", "chunk").sortWithinPartitions("u", "chunk").select("u", "chunk", "id", "comp", "text")
-        packed = shared.staged(packed.mapInPandas(_block_packer, "u long, block long, ids binary, comps binary, lengths binary, texts binary"), "near-blocks")
-        side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("ids", "comps", "lengths", "texts")]
-        i_side = packed.join(packed.select("u", F.col("block").alias("other")), "u").where("other >= block").select("u", "other", *side("i"))
-        j_side = packed.select("u", F.col("block").alias("other"), *side("j"))
-        more = i_side.join(j_side, ["u", "other"]).drop("u", "other").mapInPandas(_block_linker(shingle_words, percent), "a long, b long")
-        more = shared.staged(more, "near-more-edges")
+        packed = shared.staged(packed.mapInPandas(_block_packer, PACKED), "near-blocks")
+        more = shared.staged(paired_blocks(packed).mapInPandas(_block_linker(shingle_words, percent), "a long, b long"), "near-more-edges")
         comp = shared.staged(components(comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionAll(more), "near-final"), "near-components")
+        shared.remove(spark, packed)
 
-    class_of = classes.join(comp, classes.rep == comp.id, "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("component_id"))
-    of_doc = known.select("doc_id", "n", "d1", "d2").join(class_of, ["n", "d1", "d2"]).select("doc_id", "component_id")
+    shared.remove(spark, centred, pairs, texts)
+    of_class = shared.staged(classes.join(comp, "id", "left").select("words_sha", F.coalesce("comp", "id").alias("component_id")), "near-classes")
+    # Of rows that repeat a doc_id the one that stood for the document decides; its words' digest leads to the class.
+    of_doc = known.select("doc_id", "words_sha").join(of_class, "words_sha").select("doc_id", "component_id")
     linked = sigs.select("doc_id", "n").join(of_doc, "doc_id", "left").withColumn(
         "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     )
     return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _plausible(pairs: DataFrame, size_of: DataFrame, percent: int) -> DataFrame:
-    """Pairs (id, centre) whose set sizes allow the similarity; exact, since it is at most the sizes' ratio."""
-    sized = pairs.join(size_of.select("id", "n"), "id").join(size_of.select(F.col("id").alias("centre"), F.col("n").alias("n_centre")), "centre")
-    return sized.where(100 * F.least("n", "n_centre") >= percent * F.greatest("n", "n_centre")).select("id", "centre")
-
-
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: three-word shingles, similarity of 85 in 100."""
     return near_duplicates(shared.table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 2 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+reach(id, seen) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.id, l.y FROM reach r JOIN (SELECT x, y FROM links UNION ALL SELECT y, x FROM links) l ON l.x = r.seen)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT id, min(seen) AS component_id FROM reach GROUP BY id) r ON r.id = d.doc_id
+"""

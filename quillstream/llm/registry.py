@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_near_dedup": near_dedup.OP1_SQL,
+    "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op5_url_filter": url_filter.OP5_SQL,
     "op6_exact_topk": topk.OP6_SQL,
 }

@@ -8,8 +8,9 @@ equal substrings get equal interior symbols in every document and partition with
 Each symbol carries its context: the words that decided that it exists. A window of WINDOW words is
 represented by the longest symbol (ties: largest name) whose context lies inside the window. That is a function of the
 window's words alone, so equal windows always have equal representatives. Representatives that occur in
-one document only need no further look; the windows of the others are compared by a second fingerprint, and
-every word under a window that also starts in a document with a smaller id is removed. Nothing is sampled
+one document only need no further look; of the others' windows the words themselves are digested (BLAKE2b, 128 bits), and
+every word under a window whose digest also starts in a document with a smaller id is removed. Names only choose what is looked at, so
+that names which collide cost time and change no result. Nothing is sampled
 or capped: a window without a longer symbol is represented by one of its words.
 
 Defined results: null, empty and wordless texts have no words and keep the digest of the empty text; texts
@@ -32,7 +33,6 @@ from quillstream.llm import shared, textvec
 WINDOW = 50
 PAIR_ROUNDS = 8
 LONGEST_SYMBOL = 40
-_WINDOW_BASE = 0xA24BAED4963EE407
 _U = np.uint64
 _NAME_BITS = _U(58)
 
@@ -113,16 +113,15 @@ def _rank_and_offer(best, name, st, en, cl, cr, lo, hi, window) -> None:
     _offer(best, rank, np.maximum(cr - window, lo[st]), np.where(cl < lo[st], -1, np.minimum(cl, np.where(cr > hi[st], -1, hi[st] - window))))
 
 
-def window_hashes(h: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """A second fingerprint of the words of each window, by prefix sums."""
-    if not len(starts):
-        return np.zeros(0, _U)
-    total = np.zeros(len(h) + 1, _U)
-    np.cumsum(textvec.mix(h + _U(77)) * textvec.powers(_WINDOW_BASE, len(h)), out=total[1:])
-    return textvec.mix((total[starts + window] - total[starts]) * textvec.powers(pow(_WINDOW_BASE, -1, 1 << 64), len(h) + 1)[starts])
+def window_digests(words: textvec.Words, starts: np.ndarray, window: int) -> np.ndarray:
+    """(windows x 2) 128 bits of the BLAKE2b digest of each window's words."""
+    raw, at = words.joined()
+    view = memoryview(raw)
+    found = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(at[starts].tolist(), at[starts + window].tolist())])
+    return np.frombuffer(found, "<i8").reshape(-1, 2)
 
 
-PARSED = "doc_id long, text_hash long, n_words long, words_sha256 binary, symbols array<long>"
+PARSED = "doc_id long, text_sha binary, n_words long, words_sha256 binary, symbols array<long>"
 
 
 def _parser(window: int):
@@ -135,14 +134,9 @@ def _parser(window: int):
                 new[1:] = (rank[1:] != rank[:-1]) | (doc[1:] != doc[:-1])
                 rank, doc = rank[new], doc[new]
                 of = np.searchsorted(doc, np.arange(b - a + 1))
-                digests = []
-                data = words.data.tobytes()
-                for i in range(b - a):
-                    text = data[words.bounds[i] : words.bounds[i + 1]]
-                    digests.append(hashlib.sha256(b" ".join(text.split())).digest())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(words.of)), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(rank.view(np.int64)))],
-                    names=["doc_id", "text_hash", "n_words", "words_sha256", "symbols"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(words.of)), pa.array(words.digests(), pa.binary()), pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(rank.view(np.int64)))],
+                    names=["doc_id", "text_sha", "n_words", "words_sha256", "symbols"],
                 )
 
     return parse
@@ -155,18 +149,19 @@ def _window_lister(window: int):
         for batch in batches:
             lists = batch.column(3)
             for a, b, words in textvec.text_groups(batch.column(2)):
-                h = words.hashes()
-                starts, rank = representatives(h, words.of, window)
+                starts, rank = representatives(words.hashes(), words.of, window)
                 of = np.searchsorted(starts, words.of)
                 wanted = np.zeros(len(starts), bool)
                 for i in range(b - a):
                     mine = np.asarray(lists[a + i].values.to_numpy(zero_copy_only=False)).view(_U) if lists[a + i].is_valid else np.zeros(0, _U)
                     wanted[of[i] : of[i + 1]] = np.isin(rank[of[i] : of[i + 1]], mine)
-                starts, rank = starts[wanted], rank[wanted]
+                starts = starts[wanted]
                 doc = words.doc[starts]
+                part = batch.column(1).to_numpy()[a + doc].astype(np.int64)
+                found = window_digests(words, starts, window)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(a + doc)), batch.column(1).take(pa.array(a + doc)), pa.array((starts - words.of[doc]).astype(np.int32)), pa.array(rank.view(np.int64)), pa.array(window_hashes(h, starts, window).view(np.int64))],
-                    names=["doc_id", "part", "at", "symbol", "hash"],
+                    [batch.column(0).take(pa.array(a + doc)), pa.array(part << 32 | (starts - words.of[doc])), pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))],
+                    names=["doc_id", "spot", "d1", "d2"],
                 )
 
     return windows
@@ -197,43 +192,49 @@ def _remover(window: int):
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(one row per row of docs, what is left of changed documents).
 
-    The first: doc_id, text_hash, n_words, n_removed, kept_sha256 (binary), changed. The second: doc_id, text_hash,
+    The first: doc_id, text_sha (SHA-256), n_words, n_removed, kept_sha256 (binary), changed. The second: doc_id, text_sha,
     kept_text of the documents that lose some words but not as whole copies (whose kept text is empty).
 
-    Copies of a whole word sequence are settled by its digest; only the copy with the smallest doc_id is parsed further.
+    Copies of a whole word sequence are settled by its digest; only the copy with the smallest doc_id is parsed further. What
+    is joined to rows that one passage or text may have many of is staged first, so that Spark can split the join.
     """
-    docs = shared.documents(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    spark = docs.sparkSession
+    docs = shared.documents(docs).select("doc_id", F.unhex(F.sha2("text", 256)).alias("text_sha"), "text")
     parsed = shared.staged(docs.mapInArrow(_parser(window), PARSED), "repeat-symbols")
-    known = parsed.where("doc_id IS NOT NULL").select("doc_id", "text_hash", "n_words", "words_sha256")
-    originals = known.groupBy("words_sha256").agg(F.min("doc_id").alias("first_id"))
-    order = Window.partitionBy("doc_id").orderBy("text_hash")
+    known = parsed.where("doc_id IS NOT NULL").select("doc_id", "text_sha", "n_words", "words_sha256")
+    originals = shared.staged(known.groupBy("words_sha256").agg(F.min("doc_id").alias("first_id")), "repeat-originals")
+    order = Window.partitionBy("doc_id").orderBy("text_sha")
     base = shared.staged(
-        parsed.select("doc_id", "text_hash", "n_words", "words_sha256").join(originals, "words_sha256", "left").withColumn("part", F.dense_rank().over(order)), "repeat-base"
+        parsed.select("doc_id", "text_sha", "n_words", "words_sha256").join(originals, "words_sha256", "left").withColumn("part", F.dense_rank().over(order)), "repeat-base"
     )
-    first = base.where(F.col("doc_id") == F.col("first_id")).select("doc_id", "text_hash", "part").distinct()
-
-    symbols = parsed.where("doc_id IS NOT NULL").join(first, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "part", F.explode(F.array_distinct("symbols")).alias("symbol"))
-    repeated = symbols.groupBy("symbol").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("symbol")
-    suspects = symbols.join(repeated, "symbol").groupBy("doc_id", "text_hash", "part").agg(F.collect_list("symbol").alias("symbols"))
-    texts = shared.staged(docs.join(suspects, ["doc_id", "text_hash"]).select("doc_id", "part", "text", "symbols"), "repeat-texts")
-
-    windows = texts.mapInArrow(_window_lister(window), "doc_id long, part int, at int, symbol long, hash long")
-    least = windows.groupBy("symbol", "hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("symbol", "hash", "low")
-    hits = windows.join(least, ["symbol", "hash"]).where("doc_id > low").groupBy("doc_id", "part").agg(F.collect_set("at").alias("at"))
-    left = texts.select("doc_id", "part", "text").join(hits, ["doc_id", "part"]).mapInArrow(_remover(window), "doc_id long, part int, n_removed long, kept_sha256 binary, kept_text string")
+    first = base.where(F.col("doc_id") == F.col("first_id")).select("doc_id", "text_sha", "part").distinct()
+
+    symbols = parsed.where("doc_id IS NOT NULL").join(first, ["doc_id", "text_sha"]).select("doc_id", "text_sha", "part", F.explode(F.array_distinct("symbols")).alias("symbol"))
+    repeated = shared.staged(symbols.groupBy("symbol").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("symbol"), "repeat-shared")
+    suspects = symbols.join(repeated, "symbol").groupBy("doc_id", "text_sha", "part").agg(F.collect_list("symbol").alias("symbols"))
+    texts = shared.staged(docs.join(suspects, ["doc_id", "text_sha"]).select("doc_id", "part", "text", "symbols"), "repeat-texts")
+    shared.remove(spark, parsed, originals, repeated)
+
+    windows = texts.mapInArrow(_window_lister(window), "doc_id long, spot long, d1 long, d2 long")
+    least = windows.groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("d1", "d2", "low")
+    least = shared.staged(least, "repeat-windows")
+    hits = windows.join(least, ["d1", "d2"]).where("doc_id > low").select("doc_id", F.expr("cast(shiftright(spot, 32) as int)").alias("part"), F.expr("cast(spot & 4294967295 as int)").alias("at"))
+    spots = hits.groupBy("doc_id", "part").agg(F.collect_set("at").alias("at"))
+    left = texts.select("doc_id", "part", "text").join(spots, ["doc_id", "part"]).mapInArrow(_remover(window), "doc_id long, part int, n_removed long, kept_sha256 binary, kept_text string")
     left = shared.staged(left.dropDuplicates(["doc_id", "part"]), "repeat-left")
+    shared.remove(spark, texts, least)
 
     copy = F.coalesce((F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= window), F.lit(False))
     short = base.withColumn("is_copy", copy)
     joined = short.join(left.select("doc_id", "part", "n_removed", F.col("kept_sha256").alias("left_sha256")), ["doc_id", "part"], "left")
     rows = joined.select(
         "doc_id",
-        "text_hash",
+        "text_sha",
         F.col("n_words"),
         F.when(F.col("is_copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(F.col("is_copy"), F.unhex(F.sha2(F.lit(b""), 256))).otherwise(F.coalesce("left_sha256", "words_sha256")).alias("kept_sha256"),
     ).withColumn("changed", F.col("n_removed") > 0)
-    kept = left.join(base.select("doc_id", "part", "text_hash").distinct(), ["doc_id", "part"]).select("doc_id", "text_hash", "kept_text")
+    kept = left.join(base.select("doc_id", "part", "text_sha").distinct(), ["doc_id", "part"]).select("doc_id", "text_sha", "kept_text")
     return rows, kept
 
 
@@ -241,3 +242,17 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every document without windows of 50 words that start in an earlier one."""
     rows, _ = remove_repeats(shared.table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept_sha256")).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS p, w FROM w),
+keyed AS (SELECT doc_id, p, array_to_string(w[p : p + 49], ' ') AS k FROM windows),
+firsts AS (SELECT k, min(doc_id) AS f FROM keyed GROUP BY k HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, p FROM keyed JOIN firsts USING (k) WHERE doc_id > f),
+covered AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS pos FROM hits),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS t FROM words ANTI JOIN covered USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""

@@ -1,7 +1,8 @@
-"""Words of Arrow text batches as numpy arrays: spans and 64-bit fingerprints, without Python strings."""
+"""Words of Arrow text batches as numpy arrays: spans, exact numbers and 64-bit digests, without Python strings."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,6 @@ import pyarrow.compute as pc
 #: Words are runs of bytes other than space, tab, newline, vertical tab, form feed and carriage return.
 SPACES = b" \t\n\r\x0b\x0c"
 GROUP_BYTES = 1 << 21
-SEGMENT_BYTES = 1 << 20
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(SPACES)] = False
@@ -28,25 +28,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls up to a segment's length."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, SEGMENT_BYTES + 1)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if n <= SEGMENT_BYTES + 1:
-            _powers[base] = have
-    return have[:n]
-
-
 class Words:
     """The words of consecutive documents.
 
@@ -57,6 +38,7 @@ class Words:
     def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool):
         self.data = _LOWER[data] if lower else data
         self.bounds = bounds
+        self._dictionary: pa.DictionaryArray | None = None
         n = len(data)
         word = _IS_WORD[data]
         before, after = np.empty(n, bool), np.empty(n, bool)
@@ -71,34 +53,55 @@ class Words:
         self.of = np.searchsorted(self.starts, bounds)
         self.doc = np.repeat(np.arange(len(bounds) - 1), np.diff(self.of))
 
+    def _encoded(self) -> pa.DictionaryArray:
+        if self._dictionary is None:
+            ends = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
+            packed = self.data[_IS_WORD[self.data]]
+            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(packed)])
+            self._dictionary = words.dictionary_encode()
+        return self._dictionary
+
+    def numbers(self) -> np.ndarray:
+        """A number of each word: within these documents equal numbers mean equal bytes."""
+        return self._encoded().indices.to_numpy().astype(np.int64)
+
     def hashes(self) -> np.ndarray:
-        """A 64-bit fingerprint of each word, equal for equal words in any batch.
-
-        A polynomial over random values of the bytes, computed by prefix sums over segments of
-        about a megabyte, so that a very long document needs no more memory than a short one.
-        """
-        out = np.empty(len(self.starts), np.uint64)
-        at = 0
-        while at < len(out):
-            first = self.starts[at]
-            stop = max(at + 1, int(np.searchsorted(self.ends, first + SEGMENT_BYTES, "right")))
-            piece = _BYTE[self.data[first : self.ends[stop - 1]]]
-            total = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum(piece * powers(_BASE, len(piece)), out=total[1:])
-            s, e = self.starts[at:stop] - first, self.ends[at:stop] - first
-            out[at:stop] = mix((total[e] - total[s]) * powers(_INVERSE, len(piece) + 1)[s] + (e - s).astype(np.uint64))
-            at = stop
-        return out
+        """The first 64 bits of each word's BLAKE2b digest, equal for equal words in any batch; one digest per distinct word."""
+        digests = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in self._encoded().dictionary.to_pylist())
+        return np.frombuffer(digests, "<u8").astype(np.uint64)[self._encoded().indices.to_numpy()]
 
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All words, each with a space behind it, and where each begins; one more for the end."""
+        at = np.concatenate([[0], np.cumsum(self.ends - self.starts + 1)])
+        out, inside = np.full(at[-1], 32, np.uint8), np.ones(at[-1], bool)
+        inside[at[1:] - 1] = False
+        out[inside] = self.data[_IS_WORD[self.data]]
+        return out.tobytes(), at
 
-def text_groups(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
-    """(first row, row after the last, Words) of groups of rows of about two megabytes; null texts are empty."""
+    def digests(self) -> list[bytes]:
+        """SHA-256 of each document's words, joined by single spaces."""
+        raw = self.data.tobytes()
+        return [hashlib.sha256(b" ".join(raw[a:b].split())).digest() for a, b in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist())]
+
+
+def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = texts.cast(pa.large_string()).fill_null("")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     buffer = texts.buffers()[2]
-    data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
+    return offsets, np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
+
+
+def words_of(texts: pa.Array, lower: bool = False) -> Words:
+    """The words of all texts as one group."""
+    offsets, data = _buffers(texts)
+    return Words(data[offsets[0] : offsets[-1]], offsets - offsets[0], lower)
+
+
+def text_groups(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
+    """(first row, row after the last, Words) of groups of rows of about two megabytes; null texts are empty."""
+    offsets, data = _buffers(texts)
     at = 0
     while at < len(texts):
         stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GROUP_BYTES, "right")) - 1)

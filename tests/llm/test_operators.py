@@ -91,6 +91,60 @@ def test_near_duplicates_large_group(spark):
     assert got == near_brute(rows, 3, 85)
 
 
+def complements(length):
+    """Two words of two letters each, complementary, that polynomials modulo a power of two cannot tell apart."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(length))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_near_duplicates_words_that_polynomials_confuse(spark):
+    x, y = complements(1024)
+    rows = {1: f"{x} u v", 2: f"{y} u v", 3: f"{x} u v"}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {r.doc_id: tuple(r) for r in near_dedup.near_duplicates(df, 3, 85).collect()} == near_brute(rows, 3, 85)
+
+
+def test_near_duplicates_repeated_ids(spark):
+    """Of rows that repeat an id one stands for the document; every row comes back with its own set size."""
+    long = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(5, long), (5, "one two three four"), (5, "one two three four"), (2, long), (None, long), (None, None)], "doc_id long, text string")
+    got = sorted((tuple(r) for r in near_dedup.near_duplicates(df, 3, 85).collect()), key=str)
+    of_5 = {c for i, _, c, _ in got if i == 5}
+    assert len(of_5) == 1 and of_5 <= {2, 5}
+    assert [(i, n) for i, n, _, _ in got] == [(2, 38), (5, 2), (5, 2), (5, 38), (None, 0), (None, 38)]
+    assert all(c is None and k for i, _, c, k in got if i is None)
+
+
+def test_near_duplicates_equal_small_sets(spark):
+    """Sets too small to differ link by equality, also where the word sequences are not equal."""
+    rows = {1: "a b a b a b a", 2: "b a b a b a b", 3: "a b a", 4: "a b", 5: "A  B", 6: "a b a b"}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r.doc_id: tuple(r) for r in near_dedup.near_duplicates(df, 3, 85).collect()}
+    assert got == near_brute(rows, 3, 85) and got[2][2] == 1 and got[5][2] == 4
+
+
+def test_near_duplicates_recall_at_the_threshold():
+    """Pairs at the threshold share a key as often as the tables promise, whatever the threshold."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    for percent in (80, 85):
+        tables = near_dedup.tables_for(percent)
+        assert near_dedup.missed_share(tables, percent) <= near_dedup.MISSED < near_dedup.missed_share(tables - 1, percent)
+        n, texts = 200, []
+        for k in range(600):  # two sets of n shingles of one word with the threshold's similarity
+            common = -(-2 * n * percent // (100 + percent))
+            words_ = [f"{k}-{i}" for i in range(2 * n - common)]
+            texts += [" ".join(words_[:n]), " ".join(words_[n - common :])]
+        met = 0
+        for _, _, w in textvec.text_groups(pa.array(texts)):
+            _, s, of = near_dedup.shingles(w, 1)
+            m = near_dedup.minhashes(s, of, tables).reshape(len(of) - 1, 2, tables, near_dedup.BAND_ROWS)
+            same = (m[0::2] == m[1::2]).all(axis=3)
+            met += int((same[:, 0].any(axis=1) & same[:, 1].any(axis=1)).sum())
+        assert met >= 595, (percent, met)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5), (103, 101)], "a long, b long")
     got = {r.id: r.comp for r in components.components(edges).collect()}
@@ -137,6 +191,24 @@ def test_substring_dedup_small_alphabets(spark):
         assert hashlib.sha256(r.kept_text.encode()).hexdigest() == got[r.doc_id][3]
 
 
+def test_substring_dedup_words_that_polynomials_confuse(spark):
+    x, y = complements(1024)
+    tail = " ".join(f"t{i}" for i in range(49))
+    rows = {1: f"{x} {tail}", 2: f"{y} {tail}", 3: f"{x} {tail}"}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    found, _ = substring_dedup.remove_repeats(df)
+    assert {r.doc_id: r.n_removed for r in found.collect()} == {1: 0, 2: 0, 3: 50}
+
+
+def test_substring_dedup_repeated_ids(spark):
+    """Documents of one id do not remove each other's words; rows without an id stay whole and remove nothing."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    df = spark.createDataFrame([(3, a), (3, b), (3, b), (4, f"{b} end"), (None, a), (None, a), (2, f"x {a}")], "doc_id long, text string")
+    found, kept = substring_dedup.remove_repeats(df)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed) for r in found.collect()), key=str) == [(2, 61, 0), (3, 60, 0), (3, 60, 0), (3, 60, 60), (4, 61, 60), (None, 60, 0), (None, 60, 0)]
+    assert {(r.doc_id, r.kept_text) for r in kept.collect()} == {(3, ""), (4, "end")}
+
+
 def test_word_hashes_follow_words():
     import pyarrow as pa
 
