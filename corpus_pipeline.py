@@ -34,10 +34,10 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     A changed text is its kept words joined by single spaces; other texts stay as they are. n_chars follows the text.
     """
     rows, kept = substring_dedup.remove_repeats(docs)
-    changes = rows.where("changed").select("doc_id", "text_hash").distinct().join(kept, ["doc_id", "text_hash"], "left")
-    changes = changes.select(F.col("doc_id").alias("changed_id"), F.col("text_hash").alias("changed_hash"), F.coalesce("kept_text", F.lit("")).alias("new_text"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("changed_id"), F.xxhash64(F.col("text").cast("string")).alias("changed_hash"))
-    joined = packed.join(changes, ["changed_id", "changed_hash"], "left").withColumn("text", F.coalesce("new_text", "row.text"))
+    changes = rows.where("changed").select("doc_id", "text_sha").distinct().join(kept, ["doc_id", "text_sha"], "left")
+    changes = changes.select(F.col("doc_id").alias("changed_id"), F.col("text_sha").alias("changed_sha"), F.coalesce("kept_text", F.lit("")).alias("new_text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("changed_id"), F.unhex(F.sha2(F.col("text").cast("string"), 256)).alias("changed_sha"))
+    joined = packed.join(changes, ["changed_id", "changed_sha"], "left").withColumn("text", F.coalesce("new_text", "row.text"))
     renewed = {"text": F.col("text"), "n_chars": F.when(F.col("new_text").isNotNull(), F.length("text")).otherwise(F.col("row.n_chars")).cast("long") if "n_chars" in docs.columns else None}
     return joined.select(*[renewed[c].alias(c) if c in renewed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
@@ -67,7 +67,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = shared.table(spark, sf_dir, "documents")
+    docs, before = shared.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = shared.staged(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        docs, read = shared.staged(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-")), before
+        if read is not None:
+            shared.remove(spark, read)
+        before = docs
     return docs
