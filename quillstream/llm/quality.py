@@ -5,7 +5,7 @@ rules: the conjunctions along their paths. A lasso-penalised logistic model over
 those are compiled into one Spark column expression, so that scoring runs inside the scan's stage.
 
 Training sees at most MAX_TRAIN labelled rows, those with the smallest hash of their id (a documented bound, the same for
-any corpus size); scoring covers every row. Labels, language, source and ids are never inputs of a score.
+any corpus size); each tree sees RESAMPLE of them, drawn with repetition. Scoring covers every row. Labels, language, source and ids are never inputs of a score.
 
 Defined results: null and empty texts have all-zero statistics and a score like any other; without labelled rows of both
 kinds every score is the share of label 1 among them, or 0.5 if there are none; a doc_id with several labels counts once, as 1 if at
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quillstream.llm import shared
 
-MAX_TRAIN = 20_000
+MAX_TRAIN, RESAMPLE = 20_000, 2000
 TREES, DEPTH, CUTS, PENALTY = 60, 3, 16, 0.002
 
 
@@ -106,7 +106,7 @@ def propose_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int =
     cuts = [np.unique(np.concatenate([spaced(v), spaced(v[v > 0])])) for v in x.T]
     found: set[Rule] = set()
     for _ in range(trees):
-        rows = rng.integers(0, len(y), min(len(y), 2000))
+        rows = rng.integers(0, len(y), min(len(y), RESAMPLE))
         _grow(x, y, cuts, rows, depth, rng, (), found)
     return sorted({_tightest(r) for r in found})
 
@@ -121,22 +121,33 @@ def _tightest(rule: Rule) -> Rule:
 
 
 def holds(rules: list[Rule], x: np.ndarray) -> np.ndarray:
-    """(rows x rules) 1.0 where a rule holds."""
-    out = np.ones((len(x), len(rules)))
+    """(rows x rules) where a rule holds."""
+    out = np.ones((len(x), len(rules)), bool)
     for k, rule in enumerate(rules):
         for f, greater, c in rule:
-            out[:, k] *= (x[:, f] > c) == greater
+            out[:, k] &= (x[:, f] > c) == greater
     return out
 
 
+def _squared_norm(z: np.ndarray, rounds: int = 50) -> float:
+    """An upper estimate of the squared spectral norm of z with a column of ones, by power iteration: no copy of z is made."""
+    v, found = np.ones(z.shape[1] + 1), 1.0
+    for _ in range(rounds):
+        u = z @ v[1:].astype(z.dtype) + z.dtype.type(v[0])
+        v = np.append(u.sum(), z.T @ u).astype(np.float64)
+        found = float(np.linalg.norm(v))
+        v /= max(found, 1e-12)
+    return 1.05 * found
+
+
 def fit_lasso(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[float, np.ndarray]:
     """(intercept, weights) of logistic regression with an L1 penalty, by accelerated proximal gradient steps."""
     n, k = z.shape
-    rate = 4 * n / max(np.linalg.norm(np.hstack([np.ones((n, 1)), z]), 2) ** 2, 1e-9)
+    rate = 4 * n / max(_squared_norm(z), 1e-9)
     b, w, b2, w2, t = 0.0, np.zeros(k), 0.0, np.zeros(k), 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(b2 + z @ w2, -30, 30)))
-        nb, g = b2 - rate * (p - y).mean(), w2 - rate * (z.T @ (p - y)) / n
+        p = 1 / (1 + np.exp(-np.clip(b2 + z @ w2.astype(z.dtype), -30, 30)))
+        nb, g = b2 - rate * (p - y).mean(), w2 - rate * (z.T @ (p - y).astype(z.dtype)) / n
         nw = np.sign(g) * np.maximum(np.abs(g) - rate * penalty, 0)
         nt = (1 + (1 + 4 * t * t) ** 0.5) / 2
         b2, w2 = nb + (t - 1) / nt * (nb - b), nw + (t - 1) / nt * (nw - w)
@@ -145,15 +156,18 @@ def fit_lasso(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) ->
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY) -> tuple[float, list[tuple[Rule, float]]]:
-    """(intercept, the rules that keep a weight)."""
+    """(intercept, the rules that keep a weight). Rules that hold for the same rows count once; the matrix takes four bytes a row and rule."""
     if not len(y) or y.min() == y.max():
         share = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
         return float(np.log(share / (1 - share))), []
     rules = propose_rules(x, y)
-    z = holds(rules, x)
-    _, kept = np.unique(z, axis=1, return_index=True)
-    kept = [k for k in sorted(kept) if 0 < z[:, k].mean() < 1]
-    b, w = fit_lasso(z[:, kept], y, penalty)
+    z, kept, seen = holds(rules, x), [], set()
+    for k in range(len(rules)):
+        key = np.packbits(z[:, k]).tobytes()
+        if 0 < z[:, k].mean() < 1 and key not in seen:
+            seen.add(key)
+            kept.append(k)
+    b, w = fit_lasso(z[:, kept].astype(np.float32), y, penalty)
     return float(b), [(rules[k], float(v)) for k, v in zip(kept, w) if abs(v) > 1e-6]
 
 
@@ -172,8 +186,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) ->
     one = named.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # 16 bytes each: at most 320 KB
     rows = features(docs.join(F.broadcast(chosen), "doc_id"))
-    got = rows.groupBy("doc_id").agg(F.first("y").alias("y"), *[F.min(f"f_{f}").alias(f) for f in FEATURES]).orderBy("doc_id").collect()
-    return np.array([[r[f] for f in FEATURES] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["y"] for r in got])
+    # Of rows that repeat a doc_id the one whose statistics come first in order; at most ``limit`` rows come to the driver.
+    got = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.struct(*[f"f_{f}" for f in FEATURES])).alias("x")).orderBy("doc_id").collect()
+    return np.array([tuple(r["x"]) for r in got]).reshape(len(got), len(FEATURES)), np.array([r["y"] for r in got])
 
 
 def fold(doc_id: Column) -> Column:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -436,6 +437,30 @@ def test_quality(spark):
     assert np.mean([p == y for p, y in held]) > 0.9 > np.mean([y for _, y in held])
 
 
+def test_quality_statistics_and_compiled_score(spark, real):
+    """Statistics against Python's, and the compiled column against numpy's rules and weights."""
+    texts = list(real.values())[:60] + [None, "", "!!! | a  a\n14CharactersLong1 \u00c9T\u00c9 x#$ b b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    x = {r.doc_id: [r[f"f_{f}"] for f in quality.FEATURES] for r in quality.features(df).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        w = re.findall(r"[^ \t\n\x0b\f\r]+", t)
+        doubles = len(re.findall(r"(?<![^ \t\n\x0b\f\r])([^ \t\n\x0b\f\r]+)[ \t\n\x0b\f\r]+\1(?![^ \t\n\x0b\f\r])", t))
+        of_words = [t.count("\n"), sum(c in ".,;:?" for c in t), t.count("!"), t.count("|"), sum(c in "#$%&*@^~_=+<>{}[]\\/" for c in t), doubles, sum(len(v) >= 14 for v in w)]
+        line, stop, shout, bar, symbol, double, long = [n / len(w) if w else 0 for n in of_words]
+        capital, digit = [sum(f(c) for c in t) / len(t) if t else 0 for f in (lambda c: unicodedata.category(c) == "Lu", lambda c: c in "0123456789")]
+        assert x[i] == pytest.approx([len(w), len(t) / len(w) if w else 0, line, capital, digit, stop, shout, bar, symbol, double, long]), t
+    rng = np.random.default_rng(3)
+    m = np.array([x[i] for i in range(len(texts))])
+    y = (m[:, 0] > np.median(m[:, 0])).astype(float)
+    y[rng.integers(0, len(y), 6)] = 1
+    b, rules = quality.fit(m, y, 0.01)
+    assert rules
+    want = 1 / (1 + np.exp(-(b + quality.holds([r for r, _ in rules], m) @ np.array([w for _, w in rules]))))
+    got = {r.doc_id: r.s for r in quality.features(df).withColumn("s", quality.compiled(b, rules)).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want.tolist())
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in [(1, None), (2, ""), (3, "x" * 50_000), (4, "a b"), (4, "a b"), (None, "q")]], "doc_id long, text string, s_words string, score string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
