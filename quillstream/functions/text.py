@@ -33,6 +33,11 @@ def trim_white(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE_CHARS))
 
 
+def decoded(content: Column) -> Column:
+    """Text of UTF-8 bytes; malformed ones become U+FFFD."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def lines_of(c: Column) -> Column:
     return F.split(c, "\n", -1)
 
@@ -43,11 +48,6 @@ def map_matches(c: Column, pattern: str, make: Callable[[Column], Column]) -> Co
     return F.array_join(F.zip_with(F.split(c, pattern, -1), made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
-def replace_all(c: Column, pattern: str, text: str) -> Column:
-    """regexp_replace with a literal replacement text."""
-    return F.regexp_replace(c, pattern, text.replace("\\", "\\\\").replace("$", "\\$"))
-
-
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that are computed once a row.
 

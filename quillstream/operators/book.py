@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,9 +61,13 @@ def reading_order(spine: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def chapters(order: DataFrame, entries: DataFrame) -> DataFrame:
-    """order with each chapter's html; unreadable chapters go, numbers stay."""
-    files = entries.select(F.col("book_id").alias("_book"), "path", F.decode("content", "UTF-8").alias("html"))
-    return order.join(files, (order.book_id == files._book) & (order.href == files.path)).drop("_book", "path")
+    """order with each chapter's html; unreadable chapters go, numbers stay.
+
+    Bytes are decoded after the join, so entries that are no text (images, fonts) are never looked into.
+    """
+    files = entries.select(F.col("book_id").alias("_book"), "path", F.col("content").alias("_content"))
+    found = order.join(files, (order.book_id == files._book) & (order.href == files.path))
+    return T.once(found, html=T.decoded(F.col("_content"))).drop("_book", "path", "_content")
 
 
 def style_sheets(manifest: DataFrame) -> DataFrame:
@@ -99,16 +105,16 @@ def inline_assets(chapter: DataFrame, entries: DataFrame, sheets: DataFrame | No
     joins on (book, path), and one ordered aggregate a chapter.
     """
     files = entries.select("book_id", "path", "content")
-    uri = F.concat(F.lit("data:"), media_type(F.col("path")), F.lit(";base64,"), F.base64("content"))
+    uri = F.concat(F.lit("data:"), media_type(F.col("path")), F.lit(";base64,"), F.translate(F.base64("content"), "\r\n", ""))  # Spark cuts base64 into lines
     keyed = chapter.withColumn("_key", F.struct("book_id", "chapter_no"))
     refs = asset_refs(keyed, "_key", "href").where("kind IN ('css', 'img', 'svg')")
     found = refs.withColumn("book_id", F.col("_key.book_id")).join(files, ["book_id", "path"])
-    value = F.when(F.col("kind") == "css", F.decode("content", "UTF-8")).otherwise(uri)
+    value = F.when(F.col("kind") == "css", T.decoded(F.col("content"))).otherwise(uri)
     joined = keyed.join(_ordered(found.withColumn("value", value), "_key", "_a"), "_key", "left")
     joined = joined.withColumn("_base", F.col("href")).withColumn("_common", F.lit(""))
     if sheets is not None:
         own = sheets.join(files.withColumnRenamed("path", "href"), ["book_id", "href"])
-        order = F.array_sort(F.collect_list(F.struct("item_idx", "href", F.decode("content", "UTF-8").alias("css"))))
+        order = F.array_sort(F.collect_list(F.struct("item_idx", "href", T.decoded(F.col("content")).alias("css"))))
         whole = own.groupBy("book_id").agg(order.alias("s")).select("book_id", F.get("s", F.lit(0))["href"].alias("_first"), F.array_join(F.transform("s", lambda x: F.concat(x["css"], F.lit("\n"))), "").alias("_sheets"))
         joined = joined.join(whole, "book_id", "left").withColumns({"_base": F.coalesce("_first", "href"), "_common": F.coalesce("_sheets", F.lit(""))}).drop("_first", "_sheets")
     linked = F.array_join(F.transform(F.filter("_a", lambda x: x["kind"] == "css"), lambda x: F.concat(x["value"], F.lit("\n"))), "")
@@ -153,9 +159,11 @@ def page_section(number: Column, text: Column, header: bool = True) -> Column:
     return F.concat(head, F.lit("\n\n"), text, F.lit("\n"))
 
 
-def book_texts(sections: DataFrame, key: str = "book_id", number: str = "chapter_no", text: str = "text", header: bool = True) -> DataFrame:
-    """(key, n_sections, n_chars, text): sections of at least two characters, in order of their numbers."""
-    kept = sections.where(T.utf16_length(F.col(text)) >= 2).select(key, F.col(number).alias("n"), chapter_section(F.col(number), F.col(text), header).alias("s"), T.utf16_length(F.col(text)).alias("c"))
+def book_texts(sections: DataFrame, key: str = "book_id", number: str = "chapter_no", text: str = "text", header: bool = True, section: Callable[[Column, Column, bool], Column] = chapter_section) -> DataFrame:
+    """(key, n_sections, n_chars, text): sections of at least two characters, in order of their numbers, as ``section`` writes them (chapters or pages)."""
+    # Past the generator no filter is pushed, so the text is made once.
+    once = T.once(sections.select(key, F.col(number).alias("n"), F.col(text).alias("_t")), t=F.col("_t"), c=T.utf16_length(F.col("_t")))
+    kept = once.where("c >= 2").select(key, "n", "c", section(F.col("n"), F.col("t"), header).alias("s"))
     grouped = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("p"), F.sum("c").cast("long").alias("n_chars"))
     return grouped.select(key, F.size("p").alias("n_sections"), "n_chars", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("text"))
 

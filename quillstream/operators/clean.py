@@ -52,7 +52,8 @@ DEFAULT_RULES = {
         {"label": "Double spaces", "find": "  +", "replaceWith": " ", "regex": True, "flags": "g"},
     ],
 }
-MAX_NESTING = 64
+#: Passes of array functions over a text; what is nested deeper goes through Arrow.
+PASSES = 16
 
 
 @dataclass(frozen=True)
@@ -88,8 +89,6 @@ def compile_rules(rules: dict | str) -> list[Rule]:
     for r in out:
         if r.kind in ("block", "literal") and (not r.find or r.find in r.into):
             raise ValueError(f"rule {r.label!r} would never finish")
-        if r.kind == "literal" and len(r.find) == len(r.into):
-            raise ValueError(f"rule {r.label!r} cannot be counted: both texts have the same length")
     return out
 
 
@@ -103,28 +102,72 @@ def _borders(find: str) -> bool:
     return any(find.startswith(find[k:]) for k in range(1, len(find)))
 
 
-def fixpoint(c: Column, find: str, into: str = "") -> Column:
-    """c with ``find`` replaced, first place first, until it is gone.
+def _by_place(text: str, find: str, into: str) -> tuple[str, int]:
+    """(text with ``find`` replaced, first place first, until it is gone; how often).
 
-    Where ``find`` cannot overlap itself, passes over all its places come to the same; nesting deeper than MAX_NESTING raises
-    an error. Otherwise an Arrow function goes place by place.
+    What stands before a place holds no ``find``, so the next one begins at most its length before the replacement's end.
     """
-    if _borders(find):
+    n, at = 0, text.find(find)
+    while at >= 0:
+        text = text[:at] + into + text[at + len(find) :]
+        n, at = n + 1, text.find(find, max(0, at - len(find) + 1))
+    return text, n
+
+
+def _settled(find: str, into: str):
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _by_place(t, find, into)[0], na_action="ignore")
+
+    return run
+
 
-        @F.pandas_udf(StringType())
-        def by_place(texts: pd.Series) -> pd.Series:
-            def one(t: str) -> str:
-                while find in t:
-                    t = t.replace(find, into, 1)
-                return t
+PLACED = "lines array<string>, n long"
 
-            return texts.map(one, na_action="ignore")
 
-        return by_place(c)
+def _settled_lines(find: str, into: str):
+    @F.pandas_udf(PLACED)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        done = [None if lines is None else [(None, 0) if t is None else _by_place(t, find, into) for t in lines] for lines in texts]
+        return pd.DataFrame({"lines": [None if d is None else [t for t, _ in d] for d in done], "n": [None if d is None else sum(n for _, n in d) for d in done]})
+
+    return run
+
+
+def _passes(c: Column, find: str, into: str) -> Column:
+    """c after at most PASSES passes over all places of ``find``."""
     f = F.lit(find)
-    passes = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_NESTING)), c, lambda t, _: F.when(F.contains(t, f), F.replace(t, f, F.lit(into))).otherwise(t))
-    checked = lambda t: F.when(F.contains(t, f), F.raise_error(F.lit(f"{find!r} is nested too deeply")).cast("string")).otherwise(t)
-    return F.when(F.contains(c, f), F.element_at(F.transform(F.array(passes), checked), 1)).otherwise(c)
+    again = F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), c, lambda t, _: F.when(F.contains(t, f), F.replace(t, f, F.lit(into))).otherwise(t))
+    return F.when(F.contains(c, f), again).otherwise(c)
+
+
+def fixpoint(df: DataFrame, name: str, find: str, into: str = "") -> DataFrame:
+    """df with ``find`` replaced in the text column ``name``, first place first, until it is gone.
+
+    Where ``find`` cannot overlap itself, passes over all its places come to the same, and only texts nested deeper than PASSES
+    cross to an Arrow function that goes place by place. A literal that overlaps itself always does.
+    """
+    run = _settled(find, into)
+    if _borders(find):
+        return df.withColumn(name, run(F.col(name)))
+    df = T.once(df, _t=_passes(F.col(name), find, into))
+    return df.withColumn(name, F.coalesce(run(F.when(F.contains("_t", F.lit(find)), F.col("_t"))), F.col("_t"))).drop("_t")
+
+
+def replace_lines(df: DataFrame, name: str, r: Rule, count: str | None = None) -> DataFrame:
+    """df with a literal rule applied to the array of lines ``name``; ``count`` names a column for the number of places."""
+    run, f = _settled_lines(r.find, r.into), F.lit(r.find)
+    if _borders(r.find) or len(r.find) == len(r.into):
+        df = df.withColumn("_p", run(F.col(name)))
+        counted = {} if count is None else {count: F.coalesce("_p.n", F.lit(0))}
+        return df.withColumns({name: F.col("_p.lines"), **counted}).drop("_p")
+    df = T.once(df, _t=F.transform(name, lambda line: _passes(line, r.find, r.into)))
+    deep = run(F.when(F.exists("_t", lambda line: F.contains(line, f)), F.col("_t")))
+    df = T.once(df.withColumn("_d", deep), _after=F.coalesce("_d.lines", "_t"))
+    if count is not None:  # each place changes the length by as much
+        gone = F.aggregate(F.zip_with(name, "_after", lambda a, b: F.length(a) - F.length(b)), F.lit(0), lambda a, x: a + x)
+        df = df.withColumn(count, F.coalesce((gone / (len(r.find) - len(r.into))).cast("long"), F.lit(0)))
+    return df.withColumn(name, F.col("_after")).drop("_t", "_d", "_after")
 
 
 def sanitize(df: DataFrame, text: str = "text", out: str = "text") -> DataFrame:
@@ -147,7 +190,7 @@ def sanitize_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 def remove_blocks(df: DataFrame, rules: list[Rule], text: str = "text", out: str = "text") -> DataFrame:
     """df without the rules' blocks, wherever they stand, until none is left."""
-    return df.withColumn(out, reduce(lambda c, r: fixpoint(c, r.find), [r for r in rules if r.kind == "block"], F.col(text)))
+    return reduce(lambda d, r: fixpoint(d, out, r.find), [r for r in rules if r.kind == "block"], df.withColumn(out, F.col(text)))
 
 
 def _first_match(line: Column, patterns: list[Rule]) -> Column:
@@ -169,8 +212,7 @@ def drop_lines(lines: Column, rules: list[Rule]) -> Column:
 
 
 def _replaced(line: Column, r: Rule) -> Column:
-    if r.kind == "literal":
-        return fixpoint(line, r.find, r.into)
+    """line with a regular-expression rule applied."""
     if r.everywhere:
         return F.regexp_replace(line, r.find, r.into)
     # Only the first match: the line up to its end is one match, and what follows is kept as it is.
@@ -178,6 +220,16 @@ def _replaced(line: Column, r: Rule) -> Column:
     return F.when(F.rlike(line, F.lit(r.find)), F.concat(F.regexp_replace(head, r.find, r.into), F.substring(line, F.length(head) + 1, F.length(line)))).otherwise(line)
 
 
+def apply_replacements(df: DataFrame, name: str, rules: list[Rule]) -> DataFrame:
+    """df with the replacements applied, in order, to the array of lines ``name``."""
+    for r in rules:
+        if r.kind == "literal":
+            df = replace_lines(df, name, r)
+        elif r.kind == "regex":
+            df = df.withColumn(name, F.transform(name, _on(_replaced, r)))
+    return df
+
+
 def _matches(line: Column, r: Rule) -> Column:
     return F.rlike(line, F.lit(r.find))
 
@@ -196,14 +248,10 @@ def clean_text(df: DataFrame, rules: list[Rule], text: str = "text", out: str =
 
     One narrow projection after the other: no shuffle, and a text that loses all its lines stays as an empty text. A null stays null.
     """
-    bordered = [r for r in rules if r.kind == "literal" and _borders(r.find)]
-    if bordered:
-        raise ValueError(f"literal {bordered[0].find!r} overlaps itself: use a regular expression")
     df = remove_blocks(sanitize(df, text, out), rules, out, out)
-    replacements = [r for r in rules if r.kind in ("literal", "regex")]
-    kept = drop_lines(T.lines_of(F.col(out)), rules)
-    df = df.withColumn(out, F.array_join(F.transform(kept, lambda line: reduce(_replaced, replacements, line)), "\n"))
-    return df.withColumn(out, F.regexp_replace(out, "\n{4,}", "\n\n\n"))
+    df = T.once(df, _lines=drop_lines(T.lines_of(F.col(out)), rules))
+    df = apply_replacements(df, "_lines", rules)
+    return df.withColumn(out, F.regexp_replace(F.array_join("_lines", "\n"), "\n{4,}", "\n\n\n")).drop("_lines")
 
 
 def rule_counts(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
@@ -212,7 +260,7 @@ def rule_counts(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFra
     n, names = [], []
     for r in rules:
         if r.kind == "block":
-            df = T.once(df, u=fixpoint(F.col("t"), r.find))
+            df = fixpoint(df.withColumn("u", F.col("t")), "u", r.find)
             name = f"n{len(names)}"
             df = df.withColumn(name, F.expr(f"(length(t) - length(u)) div {len(r.find)}")).drop("t").withColumnRenamed("u", "t")
             names.append((r.label, name))
@@ -225,15 +273,15 @@ def rule_counts(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFra
     df = T.once(df, kept=F.transform(F.filter(F.arrays_zip("lines", "hits"), lambda x: x["hits"] == -1), lambda x: x["lines"])).drop("lines", "hits")
     for r in (r for r in rules if r.kind in ("literal", "regex")):
         names.append((r.label, f"n{len(names)}"))
-        df = T.once(df, after=F.transform("kept", _on(_replaced, r)))
         if r.kind == "literal":
-            gone = F.aggregate(F.zip_with("kept", "after", lambda a, b: F.length(a) - F.length(b)), F.lit(0), lambda a, x: a + x)
-            count = (gone / (len(r.find) - len(r.into))).cast("long")
-        elif r.everywhere:
+            df = replace_lines(df, "kept", r, names[-1][1])
+            continue
+        if r.everywhere:
             count = F.aggregate(F.transform("kept", _on(_count, r)), F.lit(0), lambda a, x: a + x)
         else:
             count = F.size(F.filter("kept", _on(_matches, r))) * (1 + r.groups)
-        df = df.withColumn(names[-1][1], count).drop("kept").withColumnRenamed("after", "kept")
+        # Both come out of one generator, so the lines are gone through once a rule.
+        df = T.once(df, after=F.transform("kept", _on(_replaced, r)), **{names[-1][1]: count}).drop("kept").withColumnRenamed("after", "kept")
     if not names:
         return df.select(F.lit("").alias("label"), F.lit(0).alias("ord"), F.lit(0).cast("long").alias("count")).where(F.lit(False))
     n = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for _, c in names]
@@ -245,7 +293,8 @@ def rule_counts(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFra
 
 def size_report(before: DataFrame, after: DataFrame, text: str = "text") -> DataFrame:
     """(bytes_before, bytes_after, bytes_removed, removed_pct) of two versions of a table."""
-    size = lambda df, name: df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long").alias(name))
-    both = size(before, "bytes_before").join(size(after, "bytes_after"))
+    size = lambda df, sign: df.select(F.octet_length(text).cast("long").alias("n"), F.lit(sign).alias("side"))
+    of = lambda sign: F.coalesce(F.sum(F.when(F.col("side") == sign, F.col("n"))), F.lit(0)).cast("long")
+    both = size(before, 0).unionAll(size(after, 1)).agg(of(0).alias("bytes_before"), of(1).alias("bytes_after"))
     removed = F.col("bytes_before") - F.col("bytes_after")
     return both.select("bytes_before", "bytes_after", removed.alias("bytes_removed"), F.round(F.try_divide(removed * 100.0, F.col("bytes_before")), 2).alias("removed_pct"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstream.functions import text as T
 from quillstream.operators import book, chunk, clean, html_text, pdf_text, progress, structure, translate
 from quillstream.plans import oracle, pipeline
+from quillstream.sources import epub
 
 ORACLE_SQL = oracle.ORACLE_SQL
 RULES = clean.compile_rules(clean.DEFAULT_RULES)
@@ -209,6 +210,48 @@ def pipeline_text(spark, sf_dir):
     return pipeline.pipeline(table(spark, sf_dir, "pages"), "page_id", RULES)
 
 
+#: Rules whose literals overlap themselves or keep the length.
+USER_RULES = clean.compile_rules({"replacements": [{"label": "dashes", "find": "--", "replaceWith": "-"}, {"label": "typo", "find": "teh", "replaceWith": "the"}]})
+
+
+def user_rules(spark, sf_dir):
+    """documents with dashes and a misspelling at line ends, cleaned by rules of a user."""
+    odd = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ---- teh\n")).alias("text"))
+    return clean.clean_text(odd, USER_RULES)
+
+
+PAGES_A_BOOK = 20
+PNG = bytes.fromhex("89504e470d0a1a0a0000000d49484452")
+
+
+def _archive(pages):
+    """An EPUB archive of at most PAGES_A_BOOK pages: an image beside them, and a malformed byte at the end of some."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    pages, out = pages.sort_values("page_id"), io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OEBPS/c.opf"/></rootfiles></container>')
+        items = "".join(f'<item id="p{i}" href="t/{i}.xhtml" media-type="application/xhtml+xml"/>' for i in pages["page_id"])
+        spine = "".join(f'<itemref idref="p{i}"/>' for i in pages["page_id"])
+        z.writestr("OEBPS/c.opf", f'<package><manifest>{items}<item id="i" href="i.png" media-type="image/png"/></manifest><spine>{spine}</spine></package>')
+        z.writestr("OEBPS/i.png", PNG)
+        for i, html in zip(pages["page_id"], pages["html"]):
+            z.writestr(f"OEBPS/t/{i}.xhtml", html.encode() + (b"\xff" if i % 5 == 0 else b""))
+    return pd.DataFrame({"book_id": [f"b{pages['page_id'].iloc[0] // PAGES_A_BOOK}"], "content": [out.getvalue()]})
+
+
+def epub_chapters(spark, sf_dir):
+    """Pages packed into archives of twenty and read back as chapters."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    books = pages.groupBy(F.expr(f"page_id div {PAGES_A_BOOK}").alias("k")).applyInPandas(lambda p: _archive(p), "book_id string, content binary")
+    found = epub.packages(books).where("error IS NULL")
+    order = book.reading_order(epub.spine(found), epub.manifest(found))
+    return html_text.html_to_text(book.chapters(order, epub.zip_entries(books, chapters_only=True))).select("book_id", "chapter_no", "href", "text")
+
+
 def stub_translator():
     """Capitals; fails on texts whose length is divisible by seven."""
 

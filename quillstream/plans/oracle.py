@@ -248,6 +248,9 @@ ORACLE_SQL = {
     "batch_assign": "SELECT page_id, CAST((row_number() OVER (PARTITION BY page_id % 4 ORDER BY page_id) - 1) // 20 AS INTEGER) AS batch_no FROM pages",
     "language_names": "SELECT lang, count(*) AS n, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' ELSE lang END AS language FROM documents GROUP BY lang",
     "book_report": f"WITH h AS ({HTML_TEXT}), k AS (SELECT page_id % 7 AS book_id, page_id AS n, t FROM h WHERE length(t) >= 2), b AS (SELECT book_id, count(*) AS n_sections, CAST(sum(length(t)) AS BIGINT) AS n_chars, string_agg({q(chr(10) * 2 + chr(0x2550) * 60 + chr(10) + '  Chapter ')} || n || {q(':' + chr(10) + chr(0x2550) * 60 + chr(10))} || {q(chr(10) * 2)} || t || {q(chr(10))}, '' ORDER BY n) AS text FROM k GROUP BY book_id) SELECT book_id, CAST(n_sections AS INTEGER) AS n_sections, n_chars, {q('=' * 60 + chr(10) + '  Book ')} || book_id || {q(chr(10) + '=' * 60 + chr(10) + '  Converted from b on 2024-01-01' + chr(10) + '=' * 60 + chr(10) + chr(10) * 2)} || text AS text FROM b",
+    "user_rules": f"""WITH s AS (SELECT doc_id, {sanitized("replace(text, chr(10), ' ---- teh' || chr(10))")} AS t FROM documents) SELECT doc_id, regexp_replace(replace(regexp_replace(t, '-{{2,}}', '-', 'g'), 'teh', 'the'), {q("\\n{4,}")}, {q(chr(10) * 3)}, 'g') AS text FROM s""",
+    "epub_chapters": f"""WITH archived AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN html || chr(65533) ELSE html END AS html FROM pages)
+      SELECT 'b' || (page_id // 20) AS book_id, CAST(row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) AS INTEGER) AS chapter_no, 'OEBPS/t/' || page_id || '.xhtml' AS href, t AS text FROM ({staged("archived", "page_id", "html", HTML_STEPS)})""",
     "pipeline_text": f"WITH noisy AS (SELECT page_id AS doc_id, t AS text FROM ({HTML_TEXT})), {CLEANED} SELECT doc_id AS page_id, text FROM cleaned",
     "translate_stub": f"WITH {PARAGRAPHS} SELECT doc_id, array_to_string(list_transform(chunks, lambda c: CASE WHEN length(c) % 7 = 0 THEN {q('[TRANSLATION FAILED]' + chr(10))} || c ELSE upper(replace(c, 'ß', 'ss')) END), {q(chr(10) * 2)}) AS text, CAST(len(list_filter(chunks, lambda c: length(c) % 7 = 0)) AS BIGINT) AS n_failed FROM {LLM} WHERE len(chunks) > 0",
 }

@@ -32,7 +32,7 @@ def convert_books(spark: SparkSession, path: str, day: str, rules: list[clean.Ru
     books = epub.archives(spark, path)
     found = epub.packages(books).where("error IS NULL")
     order = book.reading_order(epub.spine(found), epub.manifest(found))
-    texts = html_text.html_to_text(book.chapters(order, epub.zip_entries(books)))
+    texts = html_text.html_to_text(book.chapters(order, epub.zip_entries(books, chapters_only=True)))
     whole = book.book_texts(texts, header=sections).join(found.select("book_id", "title", "author"), "book_id")
     head = book.header_text(F.col("title"), F.col("author"), F.regexp_extract("book_id", "[^/]*$", 0), day)
     df = whole.select("book_id", F.concat(head, "text").alias("text"))

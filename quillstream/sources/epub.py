@@ -24,18 +24,32 @@ def archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("book_id"), "content")
 
 
-def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for book, content in zip(pdf["book_id"], pdf["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                for name in z.namelist():
-                    if not name.endswith("/"):
-                        yield pd.DataFrame({"book_id": [book], "path": [name], "content": [z.read(name)]})
-
-
-def zip_entries(books: DataFrame) -> DataFrame:
-    """One row per file of each archive."""
-    return books.mapInPandas(_entries, ENTRIES)
+def _entries(chapters_only: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for book, content in zip(pdf["book_id"], pdf["content"]):
+                try:
+                    wanted = reading_paths(parse_package(content)) if chapters_only else None
+                    archive = zipfile.ZipFile(io.BytesIO(content))
+                except (ValueError, ElementTree.ParseError, zipfile.BadZipFile):
+                    continue  # packages() tells what is wrong with it
+                with archive as z:
+                    for name in dict.fromkeys(z.namelist()):
+                        if not name.endswith("/") and (wanted is None or name in wanted):
+                            yield pd.DataFrame({"book_id": [book], "path": [name], "content": [z.read(name)]})
+
+    return run
+
+
+def zip_entries(books: DataFrame, chapters_only: bool = False) -> DataFrame:
+    """One row per file of each readable archive; of those alone that the reading order names, if ``chapters_only`` is set."""
+    return books.mapInPandas(_entries(chapters_only), ENTRIES)
+
+
+def reading_paths(package: dict) -> set[str]:
+    """Paths of the items that the reading order names."""
+    of_id = {i: href for _, i, href, _ in package["manifest"]}
+    return {of_id[ref] for _, ref in package["spine"] if ref in of_id}
 
 
 def _local(tag: str) -> str:

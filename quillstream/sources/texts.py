@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstream.functions import text as T
+
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of whole UTF-8 files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
+    """(path, text) of whole UTF-8 files; malformed bytes become U+FFFD."""
+    return spark.read.format("binaryFile").load(path).select("path", T.decoded(F.col("content")).alias("text"))
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Golden cases of the document operators."""
 
 import http.server
+import base64
 import io
 import json
 import threading
@@ -92,10 +93,31 @@ def test_user_rules(spark):
         clean.compile_rules({"replacements": [{"find": "a", "replaceWith": "ba"}]})
     with pytest.raises(ValueError):
         clean.compile_rules({"linePatterns": [{"pattern": "a", "flags": "y"}]})
-    short = [r for r in rules if r.label != "aa"]
-    assert framed(spark, ["end\nend \nab ab\nx-yz"], lambda df: clean.clean_text(df, short, "v", "out")) == ["end \n[a$ab] ab\nz"]
-    assert one(spark, ["aaab", "b"], lambda c: clean.fixpoint(c, "aa", "")) == ["ab", "b"]
-    assert one(spark, ["a" * 5], lambda c: clean.fixpoint(c, "ab", "")) == ["aaaaa"]
+    assert framed(spark, ["end\nend \nab ab\nx-yz"], lambda df: clean.clean_text(df, rules[:3], "v", "out")) == ["end \n[a$ab] ab\nz"]
+    fixed = lambda find: lambda df: clean.fixpoint(df.withColumn("out", F.col("v")), "out", find)
+    assert framed(spark, ["aaab", "b", None], fixed("aa")) == ["ab", "b", None]
+    assert framed(spark, ["a" * 5, "a" * 1000 + "b" * 1000 + "!"], fixed("ab")) == ["aaaaa", "!"]
+
+
+def literal_witness(line, find, into):
+    n = 0
+    while find in line:
+        line, n = line.replace(find, into, 1), n + 1
+    return line, n
+
+
+LITERALS = [("--", "-"), ("teh", "the"), ("ab", ""), ("aba", "b"), ("xx", "yy"), ("(())", "")]
+
+
+@pytest.mark.parametrize("find,into", LITERALS)
+def test_literals(spark, find, into):
+    """Literals that overlap themselves, keep the length or nest deeply, with their counts, against a plain loop."""
+    lines = ["-" * 9, "a -- b --- c", "teh tteh teteh", "ababababa", "xxxxx", "a" * 1000 + "b" * 1000, "(" * 40 + ")" * 40, "", "plain"]
+    rules = clean.compile_rules({"replacements": [{"label": "l", "find": find, "replaceWith": into}]})
+    want = [literal_witness(x, find, into) for x in lines]
+    assert framed(spark, ["\n".join(lines), None], lambda df: clean.clean_text(df, rules, "v", "out")) == ["\n".join(x for x, _ in want), None]
+    df = spark.createDataFrame([("\n".join(lines),), (None,)], "text string")
+    assert [r["count"] for r in clean.rule_counts(df, rules).collect()] == [sum(n for _, n in want)]
 
 
 def test_java_pattern(spark):
@@ -212,6 +234,30 @@ def test_epub(spark, tmp_path):
     assert book.style_sheets(epub.manifest(found)).count() == 1
 
 
+def test_epub_binary_entries(spark, tmp_path):
+    """Images that are no UTF-8 and a chapter with a Latin-1 byte."""
+    png = bytes.fromhex("89504e470d0a1a0a0000000d49484452") + bytes(range(256))
+    files = {"META-INF/container.xml": CONTAINER, "OEBPS/c.opf": OPF, "OEBPS/a.xhtml": '<h1>One</h1><img src="i.png">', "OEBPS/b.xhtml": b"<p>caf\xe9 au lait</p>", "OEBPS/s.css": b"b{} /* \xe9 */", "OEBPS/i.png": png, "OEBPS/f.woff": png}
+    (tmp_path / "good.epub").write_bytes(archive(files))
+    (tmp_path / "bad.epub").write_bytes(b"no archive")
+    whole = pipeline.convert_books(spark, str(tmp_path), "2024-01-01").collect()
+    assert len(whole) == 1 and "caf\ufffd au lait" in whole[0].text
+    books = epub.archives(spark, str(tmp_path))
+    assert {r.path for r in epub.zip_entries(books, chapters_only=True).collect()} == {"OEBPS/a.xhtml", "OEBPS/b.xhtml"}
+    found = epub.packages(books).where("error IS NULL")
+    order = book.reading_order(epub.spine(found), epub.manifest(found))
+    entries = epub.zip_entries(books)
+    inlined = {r.chapter_no: r.html for r in book.inline_assets(book.chapters(order, entries), entries, book.style_sheets(epub.manifest(found))).collect()}
+    assert base64.b64encode(png).decode() in inlined[1] and "b{} /* \ufffd */" in inlined[3]
+
+
+def test_page_sections(spark):
+    df = spark.createDataFrame([(1, 2, "second"), (1, 1, "first page"), (1, 3, "x")], "book_id int, page int, text string")
+    got = book.book_texts(df, number="page", section=book.page_section).first()
+    rule = "\u2500" * 40
+    assert (got.n_sections, got.n_chars) == (2, 16) and got.text.startswith(f"\n\n{rule}\n  Page 1\n{rule}\n\n\nfirst page\n")
+
+
 def test_batches(spark):
     df = spark.range(45).withColumn("k", F.lit(1))
     assert [r["count"] for r in book.batches(df, 20, "id", "k").groupBy("batch_no").count().orderBy("batch_no").collect()] == [20, 20, 5]
@@ -266,7 +312,9 @@ def test_stream(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
     (source / "a.txt").write_text("keep  this\r\nps: gone\nx​y\n")
-    stream = clean_stream.clean_lines_stream(clean_stream.read_lines(spark, str(source)), RULES)
+    with pytest.raises(ValueError, match="several lines"):
+        clean_stream.clean_lines_stream(clean_stream.read_lines(spark, str(source)), RULES)
+    stream = clean_stream.clean_lines_stream(clean_stream.read_lines(spark, str(source)), RULES, skip_blocks=True)
     query = clean_stream.write_lines(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination(120)
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["keep this", "xy"]
