@@ -14,7 +14,7 @@ names and with all as words. A unit is a unit word after a number.
 
 Before the join a bitmap of fixed size over the item windows' hashes drops document windows that match none; it lets
 some others through, which the join removes, and never drops a match. Defined results: null and empty texts and ids have no windows; items with
-fewer than MIN_LITERALS tokens match nothing; repeated rows give one pair; extra columns are ignored.
+fewer than MIN_LITERALS tokens match where all their words stand, and have no templates; repeated rows give one pair; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -174,7 +174,7 @@ def _item_windows(window: int):
             ids = batch.column(0).to_pylist()
             row, read = readings([t or "" for t in batch.column(1).to_pylist()], lexicon)
             for reading in read:
-                for width in range(MIN_LITERALS, window + 1):
+                for width in range(1 if reading.shape == WORDS else MIN_LITERALS, window + 1):
                     starts, hashes = window_hashes(reading, width)
                     owner = np.searchsorted(reading.of, starts, "right") - 1
                     mine = np.minimum(np.diff(reading.of)[owner], window) == width
@@ -245,7 +245,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     made = shared.staged(items.mapInArrow(_item_windows(window), WINDOWS), "leak-items")
     of_item = made.groupBy("id", "shape", "named").agg(F.countDistinct("at").alias("item_windows"))
-    widths: dict[int, list[int]] = {}  # MIN_LITERALS to WINDOW
+    widths: dict[int, list[int]] = {}  # 1 to WINDOW
     for shape, width in made.select("shape", F.size(F.split("canon", " "))).distinct().collect():
         widths.setdefault(shape, []).append(width)
     parts = made.select("hash").distinct().coalesce(4).mapInArrow(_bitmap, "bits binary").collect()  # 4 bitmaps of 2 MB at most

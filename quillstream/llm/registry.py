@@ -22,4 +22,5 @@ ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op5_url_filter": url_filter.OP5_SQL,
     "op6_exact_topk": topk.OP6_SQL,
+    "op10_warc": warc.OP10_SQL,
 }

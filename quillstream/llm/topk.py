@@ -9,7 +9,8 @@ shuffle merges the blocks' lists. Every query meets every candidate; nothing is
 Defined results: vectors that are null, or hold a null or non-finite component, take no part, nor do
 rows with a null id; a missing trailing component counts as zero; an empty vector scores 0; a query
 never meets rows of its own id; repeated rows all take part as candidates, and a repeated query id
-is searched once, with the row whose components come first in order.
+is searched once, with the row whose components come first in order. Components beyond 64 bits are held at their
+bounds, scores are exact whatever their size, and a score beyond 64 bits raises OverflowError.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from quillstream.llm import shared
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 2048
+#: Candidate blocks that meet one query block in one task.
+BLOCKS_PER_TASK = 8
 
 
 def integer_vectors(table: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -36,27 +39,28 @@ def integer_vectors(table: DataFrame, id_col: str, vec_col: str, scale: int) ->
     )
 
 
-def _packer(rows: int, kind: str):
-    """mapInPandas function: packs a partition's vectors into blocks of at most ``rows`` rows."""
+def _packer(rows: int):
+    """mapInPandas function over (no, id, v), sorted by no: packs vectors of one number into blocks of at most ``rows`` rows."""
 
     def pack(batches):
-        ids, vecs = [], []
+        held, ids, vecs = None, [], []
 
         def flush():
             wide = max((len(v) for v in vecs), default=0)
             dense = np.zeros((len(vecs), wide), np.int64)
             for i, v in enumerate(vecs):
                 dense[i, : len(v)] = v
-            small = np.int16 if not dense.size or np.abs(dense).max() < 2**15 else np.int64
-            return pd.DataFrame({"kind": [kind], "width": [wide], "item": [dense.astype(small).itemsize], "ids": [np.asarray(ids, np.int64).tobytes()], "weights": [dense.astype(small).tobytes()]})
+            small = np.int16 if not dense.size or (dense.max() < 2**15 and dense.min() >= -(2**15)) else np.int64
+            return pd.DataFrame({"no": [held], "width": [wide], "item": [dense.astype(small).itemsize], "ids": [np.asarray(ids, np.int64).tobytes()], "weights": [dense.astype(small).tobytes()]})
 
         for pdf in batches:
-            for i, v in zip(pdf["id"], pdf["v"]):
-                ids.append(i)
-                vecs.append(v)
-                if len(ids) == rows:
+            for no, i, v in zip(pdf["no"], pdf["id"], pdf["v"]):
+                if ids and (no != held or len(ids) == rows):
                     yield flush()
                     ids, vecs = [], []
+                held = no
+                ids.append(i)
+                vecs.append(v)
         if ids:
             yield flush()
 
@@ -72,8 +76,14 @@ def _unpack(row) -> tuple[np.ndarray, np.ndarray]:
 def accumulate(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
     """Integer scores (queries x block rows), one term at a time from that term's postings."""
     terms = min(queries.shape[1], block.shape[1])
-    bound = float(np.abs(queries).max(initial=0)) * float(np.abs(block).max(initial=0)) * max(1, terms)
-    kind = np.int32 if bound < 2**31 else np.int64
+    size = lambda x: max(float(x.max(initial=0)), -float(x.min(initial=0)))
+    bound = size(queries) * size(block) * max(1, terms)
+    kind = np.int32 if bound < 2**31 else np.int64 if bound < 2**62 else object
+    if kind is object:  # Python's integers: slow, and exact
+        scores = queries[:, :terms].astype(object) @ block[:, :terms].astype(object).T if terms else np.zeros((len(queries), len(block)), object)
+        if any(not -(2**63) <= x < 2**63 for x in scores.ravel()):
+            raise OverflowError("a score is beyond 64 bits")
+        return scores.astype(np.int64)
     scores = np.zeros((len(queries), len(block)), kind)
     for t in range(terms):
         asking, posted = np.flatnonzero(queries[:, t]), np.flatnonzero(block[:, t])
@@ -131,28 +141,28 @@ def _searcher(k: int):
     return search
 
 
-_BLOCK = "kind string, width int, item int, ids binary, weights binary"
+_BLOCK = "no long, width int, item int, ids binary, weights binary"
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, blocks_per_task: int = BLOCKS_PER_TASK) -> DataFrame:
     """(query_id, rank, vec_id, score) for queries and candidates of (id long, v array<long>).
 
-    Queries and candidates are both packed into blocks; candidate blocks are dealt to each query block
-    by number, so memory is bounded by one block of each and the work grows as queries x candidates,
-    which exhaustive search is.
+    Queries are dealt by a hash of their id into about one block per ``query_rows``, candidates are packed where they lie. Pairs of
+    blocks are dealt over both: the key is (query block, share of the candidates), with as many shares as keep about
+    ``blocks_per_task`` candidate blocks under a key. So memory is bounded by one block of each, no task gets all
+    candidates, and the work grows as queries x candidates, which exhaustive search is. Blocks are packed: a query block
+    is copied once a share, a candidate block once a query block.
     """
     one = queries.groupBy("id").agg(F.min("v").alias("v"))
-    n_parts = max(1, math.ceil(one.count() / query_rows))
-    packed = one.repartitionByRange(n_parts, "id").mapInPandas(_packer(query_rows, "q"), _BLOCK)
-    packed = shared.staged(packed.withColumn("block_no", F.monotonically_increasing_id()), "topk-queries")
-    numbers = [r[0] for r in packed.select("block_no").collect()]  # one number per 2048 queries
-    if not numbers:
-        numbers = [-1]
-    cand = candidates.mapInPandas(_packer(block_rows, "c"), _BLOCK)
-    dealt = cand.withColumn("block_no", F.explode(F.array(*[F.lit(n).cast("long") for n in numbers])))
-    q = packed.select("block_no", *[F.col(c).alias(f"q_{c}") for c in ("width", "item", "ids", "weights")])
-    c = dealt.select("block_no", *[F.col(c).alias(f"c_{c}") for c in ("width", "item", "ids", "weights")])
-    part = c.join(q, "block_no").mapInPandas(_searcher(k), "query_id long, vec_id long, score long")
+    n_blocks = max(1, math.ceil(one.count() / query_rows))
+    shares = max(1, math.ceil(candidates.count() / (block_rows * blocks_per_task)))
+    numbered = one.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("no"), "id", "v").repartition("no").sortWithinPartitions("no")
+    packed = shared.staged(numbered.mapInPandas(_packer(query_rows), _BLOCK), "topk-queries")
+    cand = candidates.select(F.lit(0).cast("long").alias("no"), "id", "v").mapInPandas(_packer(block_rows), _BLOCK).withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)))
+    sides = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("width", "item", "ids", "weights")]
+    q = packed.select(F.col("no").alias("block_no"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"), *sides("q"))
+    c = cand.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block_no"), "share", *sides("c"))
+    part = c.join(q, ["block_no", "share"]).drop("block_no", "share").mapInPandas(_searcher(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

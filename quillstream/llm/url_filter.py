@@ -6,7 +6,9 @@ its fetch day. Keys are a host or a parent domain (``example.org`` covers ``a.ex
 
 Defined results: a null or unparsable url has no host and is allowed; a null fetch day is allowed;
 repeated changes count once; of changes of one key, list and day ``remove`` wins over ``add``; a second
-``add`` keeps the interval open; captures are returned once per input row, so repeated pages repeat.
+``add`` keeps the interval open; captures are returned once per input row, so repeated pages repeat. A column of the
+captures that has the name of an added one (``host``, ``n_lists``, ``lists``, ``allowed``, behind ``prefix``) gives way to it;
+all others stay, whatever they are called.
 """
 
 from __future__ import annotations
@@ -37,6 +39,11 @@ def list_changes(spark: SparkSession, rows: list[tuple[str, str, str, str]] = LI
     return spark.sql(f"SELECT list_name, key, CAST(changed_on AS DATE) changed_on, action FROM VALUES {', '.join(f'({q})' for q in quoted)} AS t(list_name, key, changed_on, action)")
 
 
+def read_changes(spark: SparkSession, path: str) -> DataFrame:
+    """Dated changes from CSV files with a header line: list_name, key, changed_on (ISO day), action."""
+    return spark.read.csv(path, header=True, schema="list_name string, key string, changed_on date, action string")
+
+
 def validity_intervals(changes: DataFrame) -> DataFrame:
     """(list_name, key, valid_from, valid_to): one interval per ``add``, closed by the next change of that key."""
     daily = changes.where("list_name IS NOT NULL AND key IS NOT NULL AND changed_on IS NOT NULL AND action IN ('add', 'remove')").groupBy(
@@ -57,32 +64,38 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def domain_keys(host: Column) -> Column:
-    """The host and all its parent domains."""
+def domain_keys(host: Column, least: Column) -> Column:
+    """The host and its parent domains of at least ``least`` labels."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    last = F.size(labels) - least + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array().cast("array<string>"))
 
 
-def filter_captures(captures: DataFrame, changes: DataFrame, url_col: str = "url", day_col: str = "fetched_on") -> DataFrame:
+def filter_captures(captures: DataFrame, changes: DataFrame, url_col: str = "url", day_col: str = "fetched_on", prefix: str = "") -> DataFrame:
     """captures with host, n_lists, lists (sorted, comma-joined) and allowed.
 
     Hosts are reduced to their distinct (host, day) pairs before any join, so a host with a third of
-    the rows costs one row per day; what is joined back to the captures is keyed on both, and
+    the rows costs one row per day. Only parent domains as long as the shortest listed key are looked up, so that a bare
+    suffix such as ``com`` is no key unless it is listed. What is joined back to the captures is keyed on host and day, and
     Spark splits what skew remains.
     """
-    hosted = captures.withColumn("host", host_of(F.col(url_col)))
-    wanted = hosted.where(F.col("host").isNotNull() & F.col(day_col).isNotNull()).select("host", F.col(day_col).alias("on_day")).distinct()
-    keyed = wanted.select("*", F.explode(domain_keys(F.col("host"))).alias("key"))
+    row = F.struct(*[F.col(f"`{c}`") for c in captures.columns]) if captures.columns else F.struct(F.lit(None).alias("none"))
+    hosted = captures.select(row.alias("_row"), host_of(F.col(f"`{url_col}`")).alias("_host"), F.col(f"`{day_col}`").alias("_day"))
     spans = validity_intervals(changes)
-    held = keyed.join(spans, (keyed.key == spans.key) & (keyed.on_day >= spans.valid_from) & (keyed.on_day < spans.valid_to))
-    verdict = held.groupBy("host", "on_day").agg(F.array_sort(F.collect_set("list_name")).alias("found"))
-    joined = hosted.alias("c").join(verdict.alias("v"), (F.col("c.host") == F.col("v.host")) & (F.col(f"c.{day_col}") == F.col("v.on_day")), "left")
-    return joined.select(
-        "c.*",
-        F.coalesce(F.size("v.found"), F.lit(0)).cast("int").alias("n_lists"),
-        F.coalesce(F.array_join("v.found", ","), F.lit("")).alias("lists"),
-        F.col("v.found").isNull().alias("allowed"),
-    )
+    least = spans.agg(F.coalesce(F.min(F.size(F.split("key", r"\."))), F.lit(1)).alias("least"))  # one row
+    wanted = hosted.where("_host IS NOT NULL AND _day IS NOT NULL").select("_host", "_day").distinct().withColumn("_least", least.scalar())
+    keyed = wanted.select("_host", "_day", F.explode(domain_keys(F.col("_host"), F.col("_least"))).alias("key"))
+    held = keyed.join(spans, (keyed.key == spans.key) & (keyed["_day"] >= spans.valid_from) & (keyed["_day"] < spans.valid_to))
+    verdict = held.groupBy("_host", "_day").agg(F.array_sort(F.collect_set("list_name")).alias("_found"))
+    joined = hosted.join(verdict, ["_host", "_day"], "left")
+    added = {
+        "host": F.col("_host"),
+        "n_lists": F.coalesce(F.size("_found"), F.lit(0)).cast("int"),
+        "lists": F.coalesce(F.array_join("_found", ","), F.lit("")),
+        "allowed": F.col("_found").isNull(),
+    }
+    own = [F.col(f"_row.`{c}`").alias(c) for c in captures.columns if c not in {prefix + n for n in added}]
+    return joined.select(*own, *[c.alias(prefix + n) for n, c in added.items()])
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

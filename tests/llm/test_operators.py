@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillstream.llm import bpe, components, decontaminate, license_scan, near_dedup, quality, registry, substring_dedup, textvec, token_output, topk, url_filter, warc
@@ -304,16 +305,42 @@ def url_rows(spark):
     return spark.createDataFrame(
         [(1, "http://a.bad.example.org:80/x", "2024-02-01"), (2, "https://u:p@BAD.example.org./", "2024-03-01"), (3, "https://notbad.example.org/", "2024-02-01"), (4, None, "2024-02-01"), (5, "nonsense", "2024-02-01"), (6, "http://bad.example.org", None), (7, "http://bad.example.org", "2024-02-10"), (7, "http://bad.example.org", "2024-02-10")],
         "page_id long, url string, d string",
-    ).selectExpr("page_id", "url", "cast(d as date) fetched_on", "'x' lists_of")
+    ).selectExpr("page_id", "url", "cast(d as date) fetched_on", "'x' lists", "'y' host", "1 key", "2 `a.b`", "3 _host", "'z' list_name")
 
 
 def test_url_filter(spark):
     changes = url_filter.list_changes(spark, [("l", "bad.example.org", "2024-01-15", "add"), ("l", "bad.example.org", "2024-01-15", "add"), ("l", "bad.example.org", "2024-02-10", "remove"), ("l", "bad.example.org", "2024-02-20", "add"), ("l", "bad.example.org", "2024-02-20", "remove"), ("m", "example.org", "2024-02-01", "add")])
     got = sorted((r.page_id, r.lists, r.n_lists, r.allowed) for r in url_filter.filter_captures(url_rows(spark), changes).collect())
+    kept = url_filter.filter_captures(url_rows(spark), changes, prefix="judged_")
+    assert kept.columns == ["page_id", "url", "fetched_on", "lists", "host", "key", "a.b", "_host", "list_name", "judged_host", "judged_n_lists", "judged_lists", "judged_allowed"]
+    assert {(r.lists, r.host) for r in kept.collect()} == {("x", "y")}
     assert got == [(1, "l,m", 2, False), (2, "m", 1, False), (3, "m", 1, False), (4, "", 0, True), (5, "", 0, True), (6, "", 0, True), (7, "m", 1, False), (7, "m", 1, False)]
     assert {r.allowed for r in url_filter.filter_captures(url_rows(spark), url_filter.list_changes(spark, [])).collect()} == {True}
 
 
+def test_url_filter_list_files(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("list_name,key,changed_on,action\nl,org,2024-01-15,add\nl,bad,not a day,add\n")
+    got = {r.page_id: r.allowed for r in url_filter.filter_captures(url_rows(spark), url_filter.read_changes(spark, str(tmp_path))).collect()}
+    assert got == {1: False, 2: False, 3: False, 4: True, 5: True, 6: True, 7: False}
+
+
+def test_topk_many_blocks_and_large_values(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.integers(-(2**25), 2**25, 5).tolist()) for i in range(300)] + [(1000, [2**62, 0, 0, 0, 0]), (1001, [1, 1, 0, 0, 0])]
+    df = spark.createDataFrame(rows, "id long, v array<long>").repartition(5)
+    got = [tuple(r) for r in topk.top_k(df.where("id = 1001"), df, 4, block_rows=20, query_rows=1, blocks_per_task=2).collect()]
+    assert [r for r in got if r[0] == 1001][0] == (1001, 1, 1000, 2**62)
+    plain = df.where("id < 300")
+    got = sorted(tuple(r) for r in topk.top_k(plain.where("id % 20 = 0"), plain, 4, block_rows=20, query_rows=4, blocks_per_task=2).collect())
+    want = []
+    for q, v in rows[:300:20]:
+        best = sorted((-sum(a * b for a, b in zip(v, c)), i) for i, c in rows[:300] if i != q)[:4]
+        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(best)]
+    assert got == want
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(df.where("id = 0"), spark.createDataFrame([(5, [2**62, 2**62])], "id long, v array<long>").unionAll(df), 4).collect()
+
+
 def test_topk(spark):
     nan, inf = float("nan"), float("inf")
     rng = np.random.default_rng(2)
@@ -339,6 +366,11 @@ def test_warc(spark, tmp_path):
     records = warc.read_archive(spark, path)
     assert sorted((r.page_id, bytes(r.payload).decode()) for r in records.collect()) == sorted((i, h or "") for i, _, h in rows)
     whole = [bytes(r.record) for r in warc.record_bytes(records).where("page_id = 6").collect()]
+    parsed = {(r.page_id, r.record_type): (r.payload_bytes, r.payload_digest, r.refers_to) for r in warc.parse_records(warc.record_bytes(records)).collect()}
+    digest = lambda h: base64.b32encode(hashlib.sha1(h).digest()).decode()
+    assert parsed[3, "revisit"] == (0, digest(b""), 4) and parsed[5, "revisit"] == (3, digest("hé".encode()), 5) and parsed[6, "response"][0] == 100_000
+    with pytest.raises(Exception, match="record and payload differ"):
+        warc.parse_records(warc.record_bytes(records.withColumn("payload", F.lit(b"other")))).collect()
     assert whole[0].startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and whole[0].endswith(b"z\r\n\r\n") and b"\r\n\r\nzz" in whole[0]
     kinds = Counter((r.page_id, r.kind) for r in records.select("page_id", warc.header_field("WARC-Type").alias("kind")).collect())
     assert kinds == {(1, "revisit"): 1, (2, "response"): 1, (3, "revisit"): 1, (4, "response"): 1, (5, "response"): 1, (5, "revisit"): 1, (6, "response"): 1}
