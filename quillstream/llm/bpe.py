@@ -1,6 +1,6 @@
 """Byte-level BPE over a table of distinct words.
 
-Texts are split into words at places where the tokenizer's own splitting can never join characters: before a
+Spark splits texts into words at places where the tokenizer's own splitting can never join characters: before a
 space that precedes a non-space, and around white space and added special tokens. Each distinct word of the corpus is
 encoded once; its ids come back by block and position:
 
@@ -9,10 +9,12 @@ encoded once; its ids come back by block and position:
 2. the rows of a bucket meet; each distinct word among them is encoded once and every asking block gets its words' ids;
 3. the ids of a block's words and its documents meet, and the documents' ids are gathered by word number and position.
 
-Every step streams over sorted rows, so memory holds one block's words or one bucket's, and a word that every block asks
-for costs each block once, however often it occurs. Step 1's two outputs are computed from one scan
-each; blocks are named by a digest of their words, and ids that do not fit a block's words raise an error. Decoding looks ids up
-in a list of pieces within the worker, as large as the vocabulary; there is no join.
+Every step streams over sorted rows, so memory holds one block's words or one bucket's distinct words and ASKING rows of it, and
+a word that every block asks for costs each block once, however often it occurs. Step 1's two outputs are computed from one scan
+each; blocks are named by a digest of their words, and ids that do not fit a block's words raise an error.
+
+Decoding is a join to the table of ids and pieces. The table is folded into one row per vocabulary, whose size bounds what is broadcast, so
+that the join is on the vocabulary and a document's pieces are picked by id without a row per token.
 
 Defined results: a null text is empty and has no ids; text inside which an added token is spelled out gets that
 token's id, as the tokenizers library does; repeated rows stay repeated; a null doc_id is kept. An empty table
@@ -22,22 +24,25 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
-from collections import defaultdict
-from itertools import chain, count
+from array import array
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.llm import shared
 
 BLOCK_BYTES, OUT_BYTES, PACK_WORDS, BUCKETS_PER_PARTITION = 8 << 20, 4 << 20, 1 << 16, 16
-#: White space as the tokenizer's pattern has it.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_WORD = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Rows of a bucket that are answered together.
+ASKING = 64
+#: White space as the tokenizer's pattern has it, for a Java character class.
+WHITE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WORD = f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: Between packed words. A word never holds white space after another character, so this stands in none.
 SEPARATOR = "\x00\n\x00"
 _tokenizers: dict = {}
@@ -62,32 +67,40 @@ def special_tokens(path: str) -> list[str]:
     return [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
 
 
-def words_of(text: str, special: re.Pattern | None) -> list[str]:
-    """The text cut into words whose encodings, one after the other, are the text's encoding."""
-    if special is None or not special.search(text):
-        return _WORD.findall(text)
-    return list(chain.from_iterable([part] if i % 2 else _WORD.findall(part) for i, part in enumerate(special.split(text))))
-
-
-def _special_pattern(path: str) -> re.Pattern | None:
-    names = special_tokens(path)
-    return re.compile("(" + "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True)) + ")") if names else None
+def words_of(text: Column, special: list[str]) -> Column:
+    """The text cut into words whose encodings, one after the other, are the text's encoding; none of a null text."""
+    t = F.coalesce(text, F.lit(""))
+    cut = lambda part: F.regexp_extract_all(part, F.lit(WORD), F.lit(0))
+    if not special:
+        return cut(t)
+    token = "(?:" + "|".join("\\Q" + name.replace("\\E", "\\E\\\\E\\Q") + "\\E" for name in sorted(special, key=len, reverse=True)) + ")"
+    parts = F.regexp_extract_all(t, F.lit(f"(?s){token}|.+?(?={token}|\\z)"), F.lit(0))
+    words = F.flatten(F.transform(parts, lambda p: F.when(F.rlike(p, F.lit(f"\\A{token}\\z")), F.array(p)).otherwise(cut(p))))
+    return F.when(reduce(or_, [F.contains(t, F.lit(name)) for name in special]), words).otherwise(cut(t))
 
 
-def _blocks(batches, path: str, block_bytes: int):
-    """Yields (its words in order of first use, [(doc_id, word numbers)]) of each block of a task's rows."""
-    special = _special_pattern(path)
-    filled = 0
-    numbers, docs = defaultdict(count().__next__), []
+def _blocks(batches, block_bytes: int):
+    """Yields (its words in order of first use, [(doc_id, word numbers)]) of each block of a task's rows (doc_id, words)."""
+    filled, numbers, docs = 0, {}, []
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            words = words_of(text.as_py() or "", special)
-            docs.append((doc_id, np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))))
-            filled += sum(map(len, words)) + 16
+        ids, lists = batch.column(0).to_pylist(), batch.column(1)
+        of = lists.offsets.to_numpy().astype(np.int64)
+        values = lists.values
+        byte = np.concatenate([[0], np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64))])
+        sizes = byte[of[1:]] - byte[of[:-1]] + 16
+        at = 0
+        while at < len(ids):
+            # As many documents as fill the block, the one that goes beyond it included.
+            stop = min(len(ids), at + 1 + int(np.searchsorted(np.cumsum(sizes[at:]), block_bytes - filled)))
+            found = values.slice(of[at], of[stop] - of[at]).dictionary_encode()
+            own = np.array([numbers.setdefault(w, len(numbers)) for w in found.dictionary.to_pylist()], np.uint32)
+            used = own[found.indices.to_numpy()] if len(own) else own
+            docs += [(i, used[x - of[at] : y - of[at]]) for i, x, y in zip(ids[at:stop], of[at:stop].tolist(), of[at + 1 : stop + 1].tolist())]
+            filled += int(sizes[at:stop].sum())
+            at = stop
             if filled >= block_bytes:
                 yield list(numbers), docs
-                filled = 0
-                numbers, docs = defaultdict(count().__next__), []
+                filled, numbers, docs = 0, {}, []
     if docs:
         yield list(numbers), docs
 
@@ -106,12 +119,12 @@ def _bucket_order(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarra
     return order, bucket[order]
 
 
-def _requester(path: str, block_bytes: int, buckets: int):
+def _requester(block_bytes: int, buckets: int):
     """mapInArrow function: for each block and bucket, the bucket's words of that block, packed in order."""
     import zstandard
 
     def ask(batches):
-        for words, _ in _blocks(batches, path, block_bytes):
+        for words, _ in _blocks(batches, block_bytes):
             block, _ = _digest(words)
             order, bucket = _bucket_order(words, buckets)
             cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() + [len(order)] if len(order) else [0]
@@ -161,11 +174,11 @@ def _meeting(block, kind, buckets, doc_ids, check, payloads):
     )
 
 
-def _sender(path: str, block_bytes: int, buckets: int):
+def _sender(block_bytes: int, buckets: int):
     """mapInArrow function: a block's word order (kind 1) and its documents as word numbers (kind 2), PACK_WORDS at a time."""
 
     def send(batches):
-        for words, docs in _blocks(batches, path, block_bytes):
+        for words, docs in _blocks(batches, block_bytes):
             block, check = _digest(words)
             yield _meeting(block, 1, [0], [None], check, [_pack(_bucket_order(words, buckets)[0])])
             ids, numbers, held = [], [], 0
@@ -184,31 +197,28 @@ def _encoder(path: str):
     """mapInArrow function over rows (bucket, block, words) sorted by bucket: each distinct word of a bucket is encoded once."""
     import zstandard
 
-    def answers(rows):
-        """Packed ids (kind 0) for each block that asked in a bucket."""
+    def answers(rows, known: dict[str, bytes]):
+        """Packed ids (kind 0) for each block that asked; known: the ids of the bucket's words so far, extended by new ones."""
         asked = [(block, zstandard.decompress(packed).decode().split(SEPARATOR)) for _, block, packed in rows]
-        distinct = list(dict.fromkeys(w for _, words in asked for w in words))
-        found = [e.ids for e in tokenizer(path).encode_batch_fast(distinct, add_special_tokens=False)]
-        number = dict(zip(distinct, range(len(distinct))))
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
-        starts = np.cumsum(lengths) - lengths
+        new = list(dict.fromkeys(w for _, words in asked for w in words if w not in known))
+        known.update(zip(new, (array("I", e.ids).tobytes() for e in tokenizer(path).encode_batch_fast(new, add_special_tokens=False))))
         payloads = []
         for _, words in asked:
-            at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-            payloads.append(_pack(lengths[at], gather(flat, starts[at], lengths[at])))
+            found = [known[w] for w in words]
+            payloads.append(_pack(np.fromiter(map(len, found), np.int64, len(found)) // 4, np.frombuffer(b"".join(found), "<u4")))
         return _meeting([block for block, _ in asked], 0, [rows[0][0]] * len(asked), [None] * len(asked), None, payloads)
 
     def encode(batches):
-        rows = []
+        rows, known = [], {}
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if rows and rows[0][0] != row[0]:
-                    yield answers(rows)
+                if rows and (rows[0][0] != row[0] or len(rows) == ASKING):
+                    yield answers(rows, known)
+                    known = known if rows[0][0] == row[0] else {}
                     rows = []
                 rows.append(row)
         if rows:
-            yield answers(rows)
+            yield answers(rows, known)
 
     return encode
 
@@ -219,11 +229,18 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)]
 
 
+def _token_lists(ids: list[bytes]) -> pa.ListArray:
+    """Packed ids as lists of integers."""
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
 def _assembler(batches):
     """mapInArrow function over rows sorted by block, kind and bucket: ids of a block's words, their order, its documents."""
 
     def batch_of(out):
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([len(x[1]) // 4 for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        ids = [x[1] for x in out]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), _token_lists(ids)], names=["doc_id", "n_tokens", "ids", "tokens"])
 
     block, last_bucket, answers, table, check = None, None, [], None, None
     for batch in batches:
@@ -265,17 +282,19 @@ def _assembler(batches):
             yield batch_of(out)
 
 
-ENCODED = "doc_id long, n_tokens long, ids binary"
+ENCODED = "doc_id long, n_tokens long, ids binary, tokens array<int>"
 
 
-def _met(docs: DataFrame, path: str, block_bytes: int) -> DataFrame:
-    """Ids of blocks' words, the words' order and the blocks' documents, sorted to be assembled."""
+def _assembled(docs: DataFrame, path: str, block_bytes: int) -> DataFrame:
+    """(doc_id, n_tokens, ids, tokens): ids packed and as a list."""
     docs = shared.documents(docs)
     buckets = BUCKETS_PER_PARTITION * max(4, docs.rdd.getNumPartitions())
-    asked = docs.mapInArrow(_requester(path, block_bytes, buckets), "bucket long, block long, words binary")
+    split = docs.select("doc_id", words_of(F.col("text"), special_tokens(path)).alias("words"))
+    asked = split.mapInArrow(_requester(block_bytes, buckets), "bucket long, block long, words binary")
     answered = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoder(path), MEETING)
-    sent = docs.mapInArrow(_sender(path, block_bytes, buckets), MEETING)
-    return answered.unionAll(sent).repartition("block").sortWithinPartitions("block", "kind", "bucket")
+    sent = split.mapInArrow(_sender(block_bytes, buckets), MEETING)
+    met = answered.unionAll(sent).repartition("block").sortWithinPartitions("block", "kind", "bucket")
+    return met.mapInArrow(_assembler, ENCODED)
 
 
 def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -284,7 +303,7 @@ def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFr
     docs must be a table or file scan, whose partitions are the same when they are read again. The number of buckets follows
     the number of partitions, so a bucket's distinct words stay as many as the input grows.
     """
-    return _met(docs, path, block_bytes).mapInArrow(_assembler, ENCODED)
+    return _assembled(docs, path, block_bytes).drop("tokens")
 
 
 def id_to_piece(path: str) -> list[bytes]:
@@ -300,30 +319,34 @@ def id_to_piece(path: str) -> list[bytes]:
     return pieces
 
 
-def _decoder(path: str):
-    def decode_ids(batches):
-        pieces = id_to_piece(path)
-        for batch in batches:
-            texts = [b"".join(map(pieces.__getitem__, np.frombuffer(ids.as_py(), "<u4").tolist())).decode("utf-8", "replace") for ids in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(vocabulary, pieces): the table of ids and pieces, folded into one row; as large as the vocabulary, whatever the corpus."""
+    rows = spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(id_to_piece(path))], "id int, piece binary")
+    pieces = F.array_sort(F.collect_list(F.struct("id", F.col("piece").cast("string").alias("piece"))))
+    return rows.groupBy(F.lit(path).alias("vocabulary")).agg(pieces.alias("p")).select("vocabulary", F.transform("p", lambda x: x["piece"]).alias("pieces"))
 
-    return decode_ids
 
+def _joined(tokens: DataFrame, path: str) -> DataFrame:
+    """Rows with ``tokens`` and their decoded text. Pieces may end inside a character, so they are joined as bytes and made valid at last."""
+    named = tokens.withColumn("vocabulary", F.when(F.col("tokens").isNotNull(), path))
+    met = named.join(F.broadcast(piece_table(tokens.sparkSession, path)), "vocabulary")
+    text = F.array_join(F.transform("tokens", lambda i: F.get("pieces", i)), "")
+    return met.withColumn("decoded", F.make_valid_utf8(text)).drop("vocabulary", "pieces", "tokens")
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encode()'s rows with the decoded text, special tokens included."""
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_decoder(path), ENCODED + ", decoded string")
+
+def _lister(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, _token_lists(batch.column(2).to_pylist())], names=["doc_id", "n_tokens", "ids", "tokens"])
 
 
-def encode_and_decode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """decode(encode(docs)) with both steps in one Python worker, one after the other on batches of about OUT_BYTES."""
-    unpieced = _decoder(path)
-    return _met(docs, path, block_bytes).mapInArrow(lambda batches: unpieced(_assembler(batches)), ENCODED + ", decoded string")
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """encode()'s rows with the decoded text, special tokens included."""
+    return _joined(encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_lister, ENCODED), path)
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of docs."""
-    both = encode_and_decode(docs, path)
+    both = _joined(_assembled(docs, path, block_bytes), path)
     return both.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
