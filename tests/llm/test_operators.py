@@ -407,7 +407,8 @@ def test_decontaminate_slots(spark):
         "doc_id long, text string",
     )
     got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminated(docs, items).collect()}
-    assert got == {(1, 1): "reparameterised", (7, 1): "exact", (6, 4): "exact"}
+    # "Too short." has fewer tokens than a template needs: it counts where all its words stand.
+    assert got == {(1, 1): "reparameterised", (7, 1): "exact", (6, 4): "exact", (2, 2): "exact"}
     item = spark.createDataFrame([(1, "From 3 boxes we take 3 balls and put them into the 3 bags there.")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "From 4 boxes we take 4 balls and put them into the 4 bags there."), (2, "From 4 boxes we take 5 balls and put them into the 6 bags there.")], "doc_id long, text string")
     assert [r.doc_id for r in decontaminate.contaminated(docs, item).collect()] == [1]
@@ -461,6 +462,45 @@ def test_decontaminate_capitals(spark):
     assert got == {(1, 1): "exact", (2, 1): "exact", (3, 2): "reparameterised", (4, 2): "reparameterised", (5, 3): "reparameterised"}
 
 
+RENAMED = [
+    "{a} has {n} {t}. {a} gives {m} {t} to {b}. How many {t} does {a} have now?",
+    "{a} drives {n} {u} and {b} drives {m} {u} more. How far do they drive in all?",
+    "A shop sells {t} for {n} dollars each. {a} buys {m} of them and pays with a note of {k} dollars. How much change does {a} get back?",
+    "If {a} reads {n} pages a day and {b} reads {m} pages a day, after how many days have they read {k} pages together?",
+    "{a} is {n} years old. {b} is {m} years older than {a}. In {k} years, how old will {b} be?",
+    "There are {n} {t} in a box. {a} takes {m} {t} out, and then {b} puts {k} {t} back. How many {t} are in the box at the end?",
+]
+
+
+def test_decontaminate_recall_of_renamed_copies(spark):
+    """Items with other names, some of two words, and other numbers, inside other text; texts of the same fillers are left alone."""
+    rng = np.random.default_rng(11)
+    names = ["Tom", "Ann", "Sam", "Eve", "Peter", "Maria", "Lucas", "Nina", "Mary Jones", "John Smith"]
+
+    def fill(shape, t, u):
+        a, b = rng.choice(names, 2, replace=False)
+        n, m, k = rng.choice(np.arange(2, 99), 3, replace=False).tolist()
+        return shape.format(a=a, b=b, n=n, m=m, k=k, t=t, u=u)
+
+    other = "the weather was fine and nobody had much to say about it so they all went home early that day".split()
+    items, docs = [], []
+    for i in range(60):
+        shape, t, u = RENAMED[i % 6], ["apples", "books", "coins"][rng.integers(3)], ["km", "miles"][rng.integers(2)]
+        items.append((i, fill(shape, t, u)))
+        docs.append((i, f"{' '.join(rng.choice(other, 12))}. {fill(shape, t, u)} {' '.join(rng.choice(other, 12))}"))
+        docs.append((1000 + i, " ".join(rng.choice(other, 40))))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum((i, i) in got for i in range(60)) >= 57
+    assert not any(d >= 1000 for d, _ in got)
+
+
+def test_decontaminate_short_items_and_long_texts(spark):
+    items = spark.createDataFrame([(1, "Name the capital."), (2, "Why?")], "item_id long, text string")
+    filler = "word " * 200_000
+    docs = spark.createDataFrame([(1, f"{filler} please NAME the capital now"), (2, "the capital"), (3, "but why not"), (4, filler)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.kind) for r in decontaminate.contaminated(docs, items).collect()} == {(1, 1, "exact"), (3, 2, "exact")}
+
+
 def test_quality(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     rows = quality.op7_quality(spark, "/root/testdata/sf0.01").collect()
