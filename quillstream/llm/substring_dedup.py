@@ -209,9 +209,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
     )
     first = base.where(F.col("doc_id") == F.col("first_id")).select("doc_id", "text_sha", "part").distinct()
 
-    symbols = parsed.where("doc_id IS NOT NULL").join(first, ["doc_id", "text_sha"]).select("doc_id", "text_sha", "part", F.explode(F.array_distinct("symbols")).alias("symbol"))
+    symbols = parsed.where("doc_id IS NOT NULL").join(first, ["doc_id", "text_sha"]).select("doc_id", "part", F.explode(F.array_distinct("symbols")).alias("symbol"))
     repeated = shared.staged(symbols.groupBy("symbol").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("symbol"), "repeat-shared")
-    suspects = symbols.join(repeated, "symbol").groupBy("doc_id", "text_sha", "part").agg(F.collect_list("symbol").alias("symbols"))
+    # Rows of symbols are many, so they carry no digest; it comes back with one join a document.
+    suspects = symbols.join(repeated, "symbol").groupBy("doc_id", "part").agg(F.collect_list("symbol").alias("symbols")).join(first, ["doc_id", "part"])
     texts = shared.staged(docs.join(suspects, ["doc_id", "text_sha"]).select("doc_id", "part", "text", "symbols"), "repeat-texts")
     shared.remove(spark, parsed, originals, repeated)
 
