@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_near_dedup": near_dedup.OP1_SQL,
     "op2_substring_dedup": substring_dedup.OP2_SQL,
+    "op4_license_scan": license_scan.OP4_SQL,
     "op5_url_filter": url_filter.OP5_SQL,
     "op6_exact_topk": topk.OP6_SQL,
     "op10_warc": warc.OP10_SQL,

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillstream.llm import bpe, components, decontaminate, license_scan, near_dedup, quality, registry, substring_dedup, textvec, token_output, topk, url_filter, warc
+from quillstream.llm import bpe, components, decontaminate, license_scan, license_texts, near_dedup, quality, registry, substring_dedup, textvec, token_output, topk, url_filter, warc
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, n long, s_words string"
@@ -279,26 +279,50 @@ def test_value_coding():
         assert np.array_equal(token_output.unpack_values(*token_output.pack_values(v), n), v)
 
 
+def license_brute(text, notices):
+    """(base starts, base labels, all labels, score), with every start of every template tried."""
+    band, w = license_scan.BAND, re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    stands = lambda p, i: i >= 0 and w[i : i + len(p)] == p
+    places = {label: [i for i in range(len(w)) if stands(split(p), i)] for label, p in license_texts.BASE_PHRASES.items()}
+    base = {label for label, at in places.items() if at}
+    labels, score = set(base), 1.0 if base else 0.0
+    for label, (text_of, phrases) in notices.items():
+        t = split(text_of)
+        keys = [(next(i for i in range(len(t)) if t[i : i + len(k)] == k), k) for k in map(split, phrases)]
+        if not all(" ".join(k) in " ".join(w) for _, k in keys):
+            continue
+        for s in range(-len(t), len(w)):
+            if any(stands(k, s + at) for at, k in keys) and all(any(stands(k, s + at + d) for d in range(-band, band + 1)) for at, k in keys):
+                share = sum(x in w[max(0, s + k - band) : max(0, s + k + band + 1)] for k, x in enumerate(t)) / len(t)
+                if share >= license_scan.MIN_SHARE:
+                    labels.add(label)
+                    score = max(score, share)
+    return sorted(i for at in places.values() for i in at), base, labels, score
+
+
 def test_license_scan(spark, real):
+    texts = {label: text for label, (text, _) in license_texts.TEXTS.items()}
+    mit = texts["mit-text"].split()
     lines = {
         -1: None, -2: "", -3: "Released under the MIT License. mit-license MIT\nlicense", -4: "GNU General Public License v3", -5: "general public public license",
         -6: "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", -7: "cafémit license", -8: "mit license " * 3000,
-    }
+        -9: "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted",
+        -10: " ".join(mit[:40] + ["some", "added", "words"] + mit[40:90] + mit[92:]), -11: " ".join(mit[:60]), -12: " ".join(mit[20:] + mit[:20]),
+        -13: " ".join(["before"] * 7 + mit * 3), -14: texts["bsd-3-text"].replace("the copyright holder nor", "Example Organisation nor"),
+        -15: "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    } | {-100 - i: "x y " * i + t for i, t in enumerate(texts.values())}
     rows = real | lines
     df = spark.createDataFrame([(i, t, "x") for i, t in rows.items()], "doc_id long, text string, labels string")
     got = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
     for i, t in rows.items():
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
-        places, labels = [], set()
-        for label, phrase in license_scan.BASE_PHRASES.items():
-            p = phrase.split()
-            for k in range(len(w)):
-                if w[k : k + len(p)] == p:
-                    places.append(k)
-                    labels.add(label)
-        assert tuple(got[i])[:6] == (i, len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
-        assert labels <= set(got[i].labels.split(",")) and 0 <= got[i].score <= 1
-    assert got[-6].labels == "mit-grant" and got[-3].labels == "mit" and got[-2].score == 0
+        at, base, labels, score = license_brute(t, license_texts.NOTICES)
+        assert tuple(got[i]) == (i, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score)
+    assert got[-6].labels == "mit-grant" and got[-3].labels == "mit" and got[-2].score == 0 and got[-9].labels == "isc" and got[-15].labels == "gpl,gpl-notice"
+    assert got[-10].labels == got[-13].labels == "mit-grant,mit-text" and got[-11].labels == "mit-grant" and got[-14].labels == "bsd,bsd-3-text"
+    for i, label in enumerate(texts):
+        assert label in got[-100 - i].labels.split(",") and got[-100 - i].score == 1
 
 
 def url_rows(spark):
