@@ -171,7 +171,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
     Members of a centre are dealt over blocks of about MEMBERS, each with its own copy of the centre's text.
     """
-    per = pairs.groupBy("centre").agg(F.count("*").alias("members"))
+    # Staged, so that Spark can split the join at a centre with many members.
+    per = shared.staged(pairs.groupBy("centre").agg(F.count("*").alias("members")), "near-centres")
     dealt = pairs.join(per, "centre").select(
         "id", "centre", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / MEMBERS)).alias("salt")
     )
@@ -181,7 +182,10 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     )
     with_text = rows.join(texts, "id").select(F.xxhash64("block").alias("part"), F.concat_ws("-", "block.centre", "block.salt").alias("block"), "is_centre", "id", "text")
     sorted_rows = with_text.repartition("part").sortWithinPartitions("part", "block", F.desc("is_centre"))
-    return sorted_rows.select("block", "is_centre", "id", "text").mapInArrow(_verifier(width, percent), "a long, b long")
+    edges = sorted_rows.select("block", "is_centre", "id", "text").mapInArrow(_verifier(width, percent), "a long, b long")
+    edges = shared.staged(edges, "near-edges")
+    shared.remove(pairs.sparkSession, per)
+    return edges
 
 
 PACKED = "u long, block long, ids binary, comps binary, lengths binary, texts binary"
@@ -324,7 +328,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     wanted = classes.select("id", "text_sha").join(centred.select("id").distinct(), "id", "left_semi")
     named = docs.select(F.col("doc_id").alias("id"), _sha("text").alias("text_sha"), "text")
     texts = shared.staged(named.join(wanted, ["id", "text_sha"], "left_semi").groupBy("id").agg(F.first("text").alias("text")), "near-texts")
-    edges = shared.staged(verified(pairs, texts, shingle_words, percent), "near-edges")
+    edges = verified(pairs, texts, shingle_words, percent)
     comp = shared.staged(components(edges, "near-stars"), "near-components")
 
     # Members, other than the centres, whose bucket still spans components: compare sets across them.
