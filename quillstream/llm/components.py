@@ -25,11 +25,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     forest = shared.staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     while not _only_stars(forest):
         both = forest.unionAll(forest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        # Staged, so that Spark can split the join at a node with many neighbours.
+        least = shared.staged(both.groupBy("a").agg(F.min("b").alias("m")), name + "-least")
         large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(down.select("a", F.col("m").alias("b"))).distinct()
         before, forest = forest, shared.staged(small, name)
-        shared.remove(edges.sparkSession, before)
+        shared.remove(edges.sparkSession, before, least)
     roots = forest.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("comp"))
     return forest.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionAll(roots)
