@@ -7,6 +7,7 @@ order mark, without U+0085), ``$`` means the very end, and replacing by a callba
 from __future__ import annotations
 
 import html
+import html.entities
 import re
 import unicodedata
 from collections.abc import Callable
@@ -68,6 +69,19 @@ def decode_entities(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+_CLOSED = re.compile("&(#[0-9]+|#[xX][0-9A-Fa-f]+|[0-9A-Za-z]+);")
+
+
+def _closed(m: re.Match) -> str:
+    return html.unescape(m[0]) if m[1][0] == "#" or f"{m[1]};" in html.entities.html5 else m[0]
+
+
+@F.pandas_udf(StringType())
+def decode_closed_entities(texts: pd.Series) -> pd.Series:
+    """The same, but what no semicolon ends stays as it is, also where HTML knows the name without one (``&amp``)."""
+    return texts.map(lambda t: _CLOSED.sub(_closed, t), na_action="ignore")
+
+
 _ESCAPES = {"s": f"[{WHITE}]", "S": f"[^{WHITE}]"}
 
 

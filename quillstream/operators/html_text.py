@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,16 +63,16 @@ STEPS = [
 ]
 
 
-def html_to_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
+def html_to_text(df: DataFrame, html: str = "html", out: str = "text", entities: Callable[[Column], Column] = T.decode_entities) -> DataFrame:
     """df with the readable text of an HTML column; a null stays null.
 
     Headings are marked (the first level in capitals), list items bulleted, table rows joined, images named by their alternative
-    text; entities are decoded last. All steps are narrow; each is its own projection to keep generated methods small.
+    text; entities are decoded last, by ``entities``. All steps are narrow; each is its own projection to keep generated methods small.
     """
     df = df.withColumn(out, F.col(html))
     for step in STEPS:
         df = df.withColumn(out, step(F.col(out)))
-    return df.withColumn(out, T.decode_entities(F.col(out))).withColumn(out, tidy(F.col(out)))
+    return df.withColumn(out, entities(F.col(out))).withColumn(out, tidy(F.col(out)))
 
 
 def chapter_title(df: DataFrame, html: str = "html", out: str = "title") -> DataFrame:

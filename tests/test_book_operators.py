@@ -50,6 +50,12 @@ def test_html_to_text(spark):
     assert got == [t for _, t in HTML]
 
 
+def test_entities(spark):
+    texts = ["&amp;&lt;&#65;&#x42;&Eacute;", "a &amp", "&ampx; &ampamp; &copy 1 &#65 &AMP", "&amp;copy;", "&MIDDOT; &none; &;", None]
+    assert one(spark, texts, T.decode_entities) == ["&<ABÉ", "a &", "&x; &amp; © 1 A &", "&copy;", "&MIDDOT; &none; &;", None]
+    assert one(spark, texts, T.decode_closed_entities) == ["&<ABÉ", *texts[1:3], "&copy;", *texts[4:]]
+
+
 def test_titles(spark):
     pages = ["<title> A &amp; B </title>", "<title></title><h2>x</h2>", "<p>none</p>", "<H3 class='q'>h<b>i</b></H3>", None]
     assert framed(spark, pages, lambda df: html_text.chapter_title(df, "v", "out")) == ["A & B", "x", None, "hi", None]
