@@ -75,11 +75,11 @@ def html_to_text(df: DataFrame, html: str = "html", out: str = "text", entities:
     return df.withColumn(out, entities(F.col(out))).withColumn(out, tidy(F.col(out)))
 
 
-def chapter_title(df: DataFrame, html: str = "html", out: str = "title") -> DataFrame:
+def chapter_title(df: DataFrame, html: str = "html", out: str = "title", entities: Callable[[Column], Column] = T.decode_entities) -> DataFrame:
     """df with the title element's text, or else the first heading's up to level three, or else null."""
     first = lambda p: F.regexp_replace(F.regexp_extract(F.col(html), p, 1), TAG, "")
-    df = df.withColumn("_t", T.trim_white(T.decode_entities(first(_between("<title", "</title>"))))).withColumn(
-        "_h", T.trim_white(T.decode_entities(first(_between("<h[1-3]", "</h[1-3]>"))))
+    df = df.withColumn("_t", T.trim_white(entities(first(_between("<title", "</title>"))))).withColumn(
+        "_h", T.trim_white(entities(first(_between("<h[1-3]", "</h[1-3]>"))))
     )
     return df.withColumn(out, F.coalesce(F.nullif("_t", F.lit("")), F.nullif("_h", F.lit("")))).drop("_t", "_h")
 
