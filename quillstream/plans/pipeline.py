@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstream.functions import text as T
 from quillstream.operators import book, chunk, clean, html_text, structure, translate
 from quillstream.sources import epub
 
 
-def pipeline(pages: DataFrame, key: str, rules: list[clean.Rule] | None = None, translator: Callable | None = None, limit: int = chunk.LLM_LIMIT) -> DataFrame:
-    """(key, text) of pages(key, html): converted, cleaned if rules are given, translated if a translator is."""
-    df = html_text.html_to_text(pages.select(key, "html")).select(key, "text")
+def pipeline(pages: DataFrame, key: str, rules: list[clean.Rule] | None = None, translator: Callable | None = None, limit: int = chunk.LLM_LIMIT, entities: Callable = T.decode_entities) -> DataFrame:
+    """(key, text) of pages(key, html): converted (entities decoded by ``entities``), cleaned if rules are given, translated if a translator is."""
+    df = html_text.html_to_text(pages.select(key, "html"), entities=entities).select(key, "text")
     if rules is not None:
         df = clean.clean_text(df, rules)
     if translator is not None:

@@ -30,7 +30,7 @@ def test_query(spark, con, name):
     assert Counter(map(tuple, df.select(*columns).collect())) == Counter(result.fetchall())
 
 
-CUT = ["book_report", "html_to_text", "epub_chapters", "page_titles"]
+CUT = ["book_report", "html_to_text", "epub_chapters", "page_titles", "pipeline_text"]
 
 
 @pytest.mark.parametrize("name", CUT)
