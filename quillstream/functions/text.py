@@ -9,7 +9,6 @@ from __future__ import annotations
 import html
 import html.entities
 import re
-import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
@@ -57,10 +56,9 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-@F.pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Unicode NFC; Spark has no such function."""
-    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+def nfc(c: Column) -> Column:
+    """Unicode NFC; Spark has no such function, but brings the ICU library along."""
+    return F.when(c.isNotNull(), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False)))
 
 
 @F.pandas_udf(StringType())

@@ -126,6 +126,11 @@ def test_literals(spark, find, into):
     assert [r["count"] for r in clean.rule_counts(df, rules).collect()] == [sum(n for _, n in want)]
 
 
+def test_sanitize_without_python(spark):
+    df = clean.sanitize(spark.createDataFrame([("e\u0301",)], "v string"), "v", "out")
+    assert "Python" not in df._jdf.queryExecution().toString() and df.first().out == "\u00e9"
+
+
 def test_java_pattern(spark):
     cases = [("^=+$", "====\r", False), ("^=+$", "====", True), (r"^\s+$", "﻿ ", True), ("a.b", "a\u0085b", True), ("a.b", "a b", False), ("[a[]", "[", True), ("[&&x]", "&", True)]
     for pattern, text, want in cases:
