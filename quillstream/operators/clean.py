@@ -7,7 +7,9 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -54,6 +56,8 @@ DEFAULT_RULES = {
 }
 #: Passes of array functions over a text; what is nested deeper goes through Arrow.
 PASSES = 16
+#: Texts that are Python objects at once in an Arrow function.
+PIECE = 256
 
 
 @dataclass(frozen=True)
@@ -114,10 +118,25 @@ def _by_place(text: str, find: str, into: str) -> tuple[str, int]:
     return text, n
 
 
+def _settle(texts: pa.Array, find: str, into: str) -> tuple[pa.Array, np.ndarray]:
+    """(texts after _by_place, how often in each). Those that hold ``find`` become Python objects, PIECE at a time; the others stay in Arrow."""
+    done, counts = [texts.slice(0, 0)], [np.zeros(0, np.int64)]
+    for k in range(0, len(texts), PIECE):
+        part = texts.slice(k, PIECE)
+        hit, n = pc.fill_null(pc.match_substring(part, find), False), np.zeros(len(part), np.int64)
+        found = [_by_place(t, find, into) for t in part.filter(hit).to_pylist()]
+        if found:
+            part = pc.replace_with_mask(part, hit, pa.array([t for t, _ in found], part.type))
+            n[hit.to_numpy(zero_copy_only=False)] = [m for _, m in found]
+        done.append(part)
+        counts.append(n)
+    return pa.concat_arrays(done), np.concatenate(counts)
+
+
 def _settled(find: str, into: str):
-    @F.pandas_udf(StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _by_place(t, find, into)[0], na_action="ignore")
+    @F.arrow_udf(StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        return _settle(texts, find, into)[0]
 
     return run
 
@@ -126,10 +145,13 @@ PLACED = "lines array<string>, n long"
 
 
 def _settled_lines(find: str, into: str):
-    @F.pandas_udf(PLACED)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        done = [None if lines is None else [(None, 0) if t is None else _by_place(t, find, into) for t in lines] for lines in texts]
-        return pd.DataFrame({"lines": [None if d is None else [t for t, _ in d] for d in done], "n": [None if d is None else sum(n for _, n in d) for d in done]})
+    @F.arrow_udf(PLACED)
+    def run(lines: pa.Array) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False))])
+        texts, n = _settle(lines.flatten(), find, into)
+        so_far = np.concatenate([[0], np.cumsum(n)])
+        after = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts, mask=lines.is_null())
+        return pa.StructArray.from_arrays([after, pa.array(so_far[ends[1:]] - so_far[ends[:-1]], pa.int64())], names=["lines", "n"])
 
     return run
 
@@ -157,7 +179,7 @@ def fixpoint(df: DataFrame, name: str, find: str, into: str = "") -> DataFrame:
 def replace_lines(df: DataFrame, name: str, r: Rule, count: str | None = None) -> DataFrame:
     """df with a literal rule applied to the array of lines ``name``; ``count`` names a column for the number of places."""
     run, f = _settled_lines(r.find, r.into), F.lit(r.find)
-    if _borders(r.find) or len(r.find) == len(r.into):
+    if _borders(r.find) or (count is not None and len(r.find) == len(r.into)):
         df = df.withColumn("_p", run(F.col(name)))
         counted = {} if count is None else {count: F.coalesce("_p.n", F.lit(0))}
         return df.withColumns({name: F.col("_p.lines"), **counted}).drop("_p")

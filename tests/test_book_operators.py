@@ -7,6 +7,7 @@ import json
 import threading
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,14 @@ def test_literals(spark, find, into):
     assert [r["count"] for r in clean.rule_counts(df, rules).collect()] == [sum(n for _, n in want)]
 
 
+def test_settle_in_pieces():
+    """More texts than a piece holds, in a slice, with nulls: against the plain loop."""
+    texts = [None if i % 7 == 3 else "-" * (i % 9) + "x" for i in range(3 * clean.PIECE)]
+    after, n = clean._settle(pa.array(texts, pa.string()).slice(5), "--", "-")
+    want = [(None, 0) if t is None else literal_witness(t, "--", "-") for t in texts[5:]]
+    assert list(zip(after.to_pylist(), n.tolist())) == want
+
+
 def test_sanitize_without_python(spark):
     df = clean.sanitize(spark.createDataFrame([("e\u0301",)], "v string"), "v", "out")
     assert "Python" not in df._jdf.queryExecution().toString() and df.first().out == "\u00e9"
