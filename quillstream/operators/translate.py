@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable, Iterator
 from urllib.request import Request, urlopen
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from quillstream.operators import chunk as C
 from quillstream.operators.progress import FAILED
 
 Translator = Callable[[str], str]
+#: Chunks that are Python objects at once.
+PIECE = 256
 
 
 def prompt(language: str) -> str:
@@ -31,7 +33,9 @@ def translate_chunks(chunks: DataFrame, make: Callable[[], Translator], retries:
     """
     marked = chunks.withColumns({"chunk_hash": F.sha2("chunk", 256), "passes": C.is_structural(F.col("chunk"), marks) | C.is_blank(F.col("chunk"))})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [n for n in marked.columns if n != "passes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         translator = make()
 
         def one(text: str, passes: bool) -> tuple[str, str]:
@@ -47,12 +51,13 @@ def translate_chunks(chunks: DataFrame, make: Callable[[], Translator], retries:
                     time.sleep(pause)
             return f"{FAILED}\n{text}", "failed"
 
-        for pdf in batches:
-            found = [one(t, p) for t, p in zip(pdf["chunk"], pdf["passes"])]
-            yield pdf.drop(columns="passes").assign(translated=[t for t, _ in found], status=[s for _, s in found])
+        for part in (b.slice(k, PIECE) for b in batches for k in range(0, b.num_rows, PIECE)):
+            found = [one(t, p) for t, p in zip(part.column("chunk").to_pylist(), part.column("passes").to_pylist())]
+            made = [pa.array([x[i] for x in found], part.column("chunk").type) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], names=[*names, "translated", "status"])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in marked.drop("passes").dtypes) + ", translated string, status string"
-    return marked.mapInPandas(run, schema)
+    schema = ", ".join(f"`{n}` {t}" for n, t in marked.select(*names).dtypes) + ", translated string, status string"
+    return marked.mapInArrow(run, schema)
 
 
 def pending(chunks: DataFrame, finished: DataFrame) -> DataFrame:

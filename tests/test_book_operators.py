@@ -140,6 +140,13 @@ def test_sanitize_without_python(spark):
     assert "Python" not in df._jdf.queryExecution().toString() and df.first().out == "\u00e9"
 
 
+def test_translate_in_arrow_pieces(spark):
+    chunks = spark.range(3 * translate.PIECE).select(F.col("id").alias("doc_id"), F.lit(0).alias("chunk_idx"), F.concat(F.lit("a"), "id").alias("chunk")).coalesce(1)
+    got = translate.translate_chunks(chunks, lambda: str.upper)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+    assert [r.translated for r in got.orderBy("doc_id").collect()] == [f"A{i}" for i in range(3 * translate.PIECE)]
+
+
 def test_java_pattern(spark):
     cases = [("^=+$", "====\r", False), ("^=+$", "====", True), (r"^\s+$", "﻿ ", True), ("a.b", "a\u0085b", True), ("a.b", "a b", False), ("[a[]", "[", True), ("[&&x]", "&", True)]
     for pattern, text, want in cases:
